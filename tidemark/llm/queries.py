@@ -5,14 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, quality_model, rules, sentencepieces, simhash
-from .common import crc_bucket, table
+from . import exact, mixing, quality_model, rules, sentencepieces, simhash, substrings
+from .common import crc_bucket, table, text_or_empty
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), output="sha").withColumnRenamed("kept", "kept_sha256")
+
+
+def mix_quality():
+    """Sampling weight of a document: less for a larger share of symbols, between 0.05 and 1."""
+    t = text_or_empty()
+    plain = F.char_length(F.translate(t, "#*$%&|<>!", ""))
+    return F.greatest(F.lit(0.05), 1 - 5.0 * (F.char_length(t) - plain) / F.greatest(F.char_length(t), F.lit(1)))
+
+
+MIX_QUALITY_SQL = "greatest(0.05, 1 - 5.0::double * (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>!]', '', 'g'))) / greatest(length(coalesce(text, '')), 1))"
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mix_quality())
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,9 +61,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op7_exact_dedup, op8_quality_classifier, op9_sentencepiece, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_substring_dedup, op4_mixing, op7_exact_dedup, op8_quality_classifier, op9_sentencepiece, op10_quality_rules)}
 
 ORACLE_SQL = {
+    "op4_mixing": mixing.mix_sql(MIX_QUALITY_SQL),
     "op10_quality_rules": rules.rules_sql(),
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
