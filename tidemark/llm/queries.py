@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, mixing, quality_model, rules, sentencepieces, simhash, substrings
+from . import exact, language_model, mixing, quality_model, rules, sentencepieces, simhash, substrings
 from .common import crc_bucket, table, text_or_empty
 
 
@@ -13,6 +13,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = language_model.score_documents(table(spark, sf_dir, "documents"), crc_bucket("doc_id", 7) != 2)
+    return scored.withColumn("held_out", crc_bucket("doc_id", 7) == 2)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), output="sha").withColumnRenamed("kept", "kept_sha256")
 
@@ -61,7 +66,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_substring_dedup, op4_mixing, op7_exact_dedup, op8_quality_classifier, op9_sentencepiece, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_model, op3_substring_dedup, op4_mixing, op7_exact_dedup, op8_quality_classifier, op9_sentencepiece, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op4_mixing": mixing.mix_sql(MIX_QUALITY_SQL),
