@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language_model, mixing, quality_model, rules, sentencepieces, simhash, substrings
+from . import exact, language_model, mixing, quality_model, rules, sentencepieces, simhash, substrings, warc
 from .common import crc_bucket, table, text_or_empty
 
 
@@ -36,6 +36,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mix_quality())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -66,9 +70,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_model, op3_substring_dedup, op4_mixing, op7_exact_dedup, op8_quality_classifier, op9_sentencepiece, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_model, op3_substring_dedup, op4_mixing, op6_warc, op7_exact_dedup, op8_quality_classifier, op9_sentencepiece, op10_quality_rules)}
 
 ORACLE_SQL = {
+    "op6_warc": """
+        SELECT page_id, n::bigint AS payload_bytes, sha1(p) AS payload_digest, CASE WHEN n < 1000 OR page_id = max(page_id) OVER g THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to
+        FROM (SELECT page_id, coalesce(html, '') AS p, octet_length(encode(coalesce(html, ''))) AS n FROM pages) WINDOW g AS (PARTITION BY p)""",
     "op4_mixing": mixing.mix_sql(MIX_QUALITY_SQL),
     "op10_quality_rules": rules.rules_sql(),
     "op7_exact_dedup": """
