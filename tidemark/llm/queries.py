@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, language_model, mixing, quality_model, rules, sentencepieces, simhash, substrings, warc
+from . import exact, language_model, mixing, quality_model, rules, secret_scan, sentencepieces, simhash, substrings, warc
 from .common import crc_bucket, table, text_or_empty
 
 
@@ -36,6 +36,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), mix_quality())
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.fit(secret_scan.labelled_findings(spark)))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -70,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_model, op3_substring_dedup, op4_mixing, op6_warc, op7_exact_dedup, op8_quality_classifier, op9_sentencepiece, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_model, op3_substring_dedup, op4_mixing, op5_secret_scan, op6_warc, op7_exact_dedup, op8_quality_classifier, op9_sentencepiece, op10_quality_rules)}
 
 ORACLE_SQL = {
     "op6_warc": """
