@@ -1,3 +1,52 @@
-STAGES = []
+"""The corpus pipeline: quality classifier, exact dedup, near-dedup, source mixing, SentencePiece.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the shared
+folder and reads it back as the next stage's documents, so that a lost executor never repeats a finished stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import exact, mixing, quality_model, queries, sentencepieces, simhash
+from tidemark.llm.common import shared_path, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    return quality_model.keep_good(docs, queries.quality_machine(spark, sf_dir, docs))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each distinct text, the one of the largest id."""
+    return exact.drop_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component, the one of the smallest id."""
+    return simhash.drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.take_mix(docs, queries.mix_quality())
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text; a document taken twice has two rows."""
+    return sentencepieces.sentencepiece_digests(docs, queries.piece_model())
+
+
+STAGES = [("quality classifier", quality), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mix), ("sentencepiece", tokenize)]
+
+#: SQL can't express the classifier; the stages are tested against brute force instead.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        path = shared_path(spark, "stage")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
