@@ -76,8 +76,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(*self.entries(buckets, stats))[0], -30, 30))) if buckets else np.zeros(0)
 
 
-def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 200, rate: float = 0.02, decay: float = 1e-5, seed: int = 1) -> Machine:
-    """Logistic loss by Adam over mini-batches. No labelled document: every score is one half."""
+def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 200, least_steps: int = 150, rate: float = 0.02, decay: float = 1e-5, seed: int = 1) -> Machine:
+    """Logistic loss by Adam over mini-batches, ``epochs`` times or ``least_steps`` steps. No labelled document: all scores near one half."""
     rng = np.random.default_rng(seed)
     n, size = len(labels), BUCKETS + len(STATS)
     mean, scale = (stats.mean(0), np.maximum(stats.std(0), 1e-3)) if n else (np.zeros(len(STATS)), np.ones(len(STATS)))
@@ -86,7 +86,7 @@ def fit(buckets: list[np.ndarray], stats: np.ndarray, labels: np.ndarray, epochs
     m.linear, m.factors = params[:, 0], params[:, 1:]
     first, second, bias = np.zeros_like(params), np.zeros_like(params), np.zeros(2)
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // max(n, batch)))):
         for at in np.array_split(rng.permutation(n), max(1, -(-n // batch))) if n else []:
             step += 1
             index, value, start = m.entries([buckets[i] for i in at], stats[at])
