@@ -1,4 +1,4 @@
 """Every query of the engine by name, with its DuckDB counterpart."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import price_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
