@@ -1,0 +1,80 @@
+"""Deterministic picks, caps, allocations and samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def hash_order(key: Column, seed: str) -> Column:
+    """The same order in every engine and run: md5 of key and seed."""
+    return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")).cast("binary"))
+
+
+def hash_sample(df: DataFrame, key: str, n: int, seed: str, strata: list[str] | None = None) -> DataFrame:
+    """The ``n`` rows of lowest hash, of each stratum where strata are given."""
+    order = hash_order(F.col(key), seed)
+    if not strata:
+        return df.orderBy(order, key).limit(n)
+    by = Window.partitionBy(*strata).orderBy(order, key)
+    return df.withColumn("__nth", F.row_number().over(by)).where(F.col("__nth") <= n).drop("__nth")
+
+
+def systematic(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
+    """Rows floor(i * n / k), i < k, of each group in order; all of a smaller group."""
+    by = Window.partitionBy(group)
+    rows = df.withColumn("__r", F.row_number().over(by.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(by))
+    return _stride(rows, F.lit(k)).drop("__r", "__n")
+
+
+def _stride(rows: DataFrame, k: Column) -> DataFrame:
+    first = F.floor((F.col("__r") * k + F.col("__n") - 1) / F.col("__n"))  # the least i with floor(i * n / k) >= r
+    return rows.where((F.col("__n") <= k) | ((first < k) & (F.floor(first * F.col("__n") / k) == F.col("__r"))))
+
+
+def session_cap(df: DataFrame, group: str, in_session: Column, order: list[str], cap: int, reserve: float) -> DataFrame:
+    """At most ``cap`` rows a group, ``reserve`` of them for rows in session; what one side leaves goes to the other."""
+    rows = df.withColumn("__s", in_session)
+    side = Window.partitionBy(group, "__s")
+    rows = rows.withColumn("__n", F.count(F.lit(1)).over(side)).withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy(group))).withColumn("__r", F.row_number().over(side.orderBy(*order)) - 1)
+    mine, other = F.col("__n"), F.col("__all") - F.col("__n")
+    share = F.when(F.col("__s"), F.floor(F.lit(cap * reserve))).otherwise(cap - F.floor(F.lit(cap * reserve))).cast("long")
+    quota = F.least(mine, F.greatest(share, F.lit(cap) - other))
+    return _stride(rows.withColumn("__k", quota).where("__k > 0"), F.col("__k")).drop("__s", "__n", "__all", "__r", "__k")
+
+
+def allocate(strata: DataFrame, group: str, name: str, size: str, total: int) -> DataFrame:
+    """Largest-remainder shares of ``total`` by ``size`` in each group, none above its size; ties go by name.
+
+    As whole sizes are the weights, the quota is below the size wherever total <= all of them, so one pass is exact.
+    """
+    by = Window.partitionBy(group)
+    rows = strata.withColumn("__t", F.least(F.lit(total), F.sum(size).over(by))).withColumn("__q", F.col("__t") * F.col(size) / F.sum(size).over(by))
+    rows = rows.withColumn("__f", F.floor("__q")).withColumn("__left", F.col("__t") - F.sum("__f").over(by))
+    nth = F.row_number().over(by.orderBy(F.desc(F.round(F.col("__q") - F.col("__f"), 9)), name))
+    return rows.withColumn("quota", (F.col("__f") + (nth <= F.col("__left")).cast("int")).cast("long")).drop("__t", "__q", "__f", "__left")
+
+
+def stratified_cap(df: DataFrame, group: str, stratum: str, key: str, total: int, seed: str) -> DataFrame:
+    """At most ``total`` rows a group, shared among strata by size and picked by hash."""
+    quotas = allocate(df.groupBy(group, stratum).agg(F.count(F.lit(1)).alias("n")), group, stratum, "n", total).select(group, stratum, "quota")
+    by = Window.partitionBy(group, stratum).orderBy(hash_order(F.col(key), seed), key)
+    return df.withColumn("__nth", F.row_number().over(by)).join(quotas, [group, stratum]).where(F.col("__nth") <= F.col("quota")).drop("__nth", "quota")
+
+
+def prioritised_days(days: DataFrame, day: str, kinds: list[tuple[str, Column, int]], seed: str) -> DataFrame:
+    """(day, stratum): a day belongs to the first kind it meets, and each kind gives its number of days by hash order."""
+    kind = F.coalesce(*[F.when(test, F.lit(name)) for name, test, _ in kinds])
+    wanted = F.create_map(*[x for name, _, n in kinds for x in (F.lit(name), F.lit(n))])
+    rows = days.select(F.col(day).alias("day"), kind.alias("stratum")).where("stratum is not null").distinct()
+    by = Window.partitionBy("stratum").orderBy(hash_order(F.col("day"), seed))
+    return rows.withColumn("__nth", F.row_number().over(by)).where(F.col("__nth") <= F.try_element_at(wanted, F.col("stratum"))).drop("__nth")
+
+
+def first_of_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in a total order."""
+    return df.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__nth = 1").drop("__nth")
+
+
+def top_per_group(df: DataFrame, group: str, order: list, n: int, rank: str = "rank") -> DataFrame:
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col(rank) <= n)
