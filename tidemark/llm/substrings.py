@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, cut
+from .common import byte_texts, written
 
 WINDOW = 50
 MEMO = 500_000
@@ -207,13 +207,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("window must be 4 words or more")
     finish = FINISH[output]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.mapInArrow(_scan_runs(window), "mark long, run long, id long")
-    by_run = found.groupBy("mark", "run").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    by_mark = by_run.groupBy("mark").agg(F.count(F.lit(1)).alias("runs"), F.min("low").alias("first"), F.max("high").alias("last")).where("last > first")
+    found = written(texts.mapInArrow(_scan_runs(window), "mark long, run long, id long"), "runs")
+    marks = found.groupBy("mark").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("mark")
+    live = written(found.join(marks, "mark", "left_semi"), "live-runs")  # level 1 ends: single half windows go no further
+    by_run = live.groupBy("mark", "run").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    by_mark = by_run.groupBy("mark").agg(F.count(F.lit(1)).alias("runs"))
     by_run = by_run.join(by_mark, "mark").where("high > low or runs > 1").select("mark", "run", "low", "runs")
-    hits = found.join(by_run, ["mark", "run"]).where("id > low or runs > 1").select("id", F.struct("mark", "run", (F.col("id") > F.col("low")).alias("whole")).alias("hit"))
+    hits = live.join(by_run, ["mark", "run"]).where("id > low or runs > 1").select("id", F.struct("mark", "run", (F.col("id") > F.col("low")).alias("whole")).alias("hit"))
     hits = hits.groupBy("id").agg(F.collect_list("hit").alias("hits"))
-    judged = cut(texts.join(hits, "id", "left").select("id", "text", "hits").mapInArrow(_judge(window, finish), _OPEN))
+    judged = written(texts.join(hits, "id", "left").select("id", "text", "hits").mapInArrow(_judge(window, finish), _OPEN), "judged")
     unsettled = judged.where("kept is null")
     wins = unsettled.select("id", F.explode(F.arrays_zip("mark", "win")).alias("w")).select("id", "w.mark", "w.win").distinct()
     seen = wins.groupBy("mark", "win").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("high > low").drop("high")
