@@ -39,7 +39,7 @@ def theme_tokens(raw: Column, curated: list[str]) -> Column:
 def tolerant_themes(raw: Column) -> Column:
     """A JSON array of names, else a comma list; null and blank give an empty array."""
     parsed = F.from_json(F.when(raw.startswith("["), raw), "array<string>")
-    listed = F.filter(F.transform(F.split(raw, ","), F.trim), lambda t: t != "")
+    listed = F.filter(F.transform(F.split(raw, ","), lambda t: F.trim(t)), lambda t: t != "")
     return F.coalesce(parsed, F.when(~raw.startswith("["), listed), F.array().cast("array<string>"))
 
 
