@@ -101,7 +101,8 @@ def float_days_fallback(spark, d):
     return names.join(days, "metal", "left").select("metal", F.coalesce("days", F.lit(20.0)).alias("days"), F.col("days").isNull().alias("is_fallback"))
 
 
-RULES = [("metal known", F.col("metal").isin("A", "N")), ("weight positive", F.col("weight") > 1), ("disposed after purchase", F.col("disposed") >= F.col("purchased")), ("paid plausible", F.col("paid").between(1000, 50000))]
+def ledger_rules():
+    return [("metal known", F.col("metal").isin("A", "N")), ("weight positive", F.col("weight") > 1), ("disposed after purchase", F.col("disposed") >= F.col("purchased")), ("paid plausible", F.col("paid").between(1000, 50000))]
 
 
 @query(
@@ -109,7 +110,7 @@ RULES = [("metal known", F.col("metal").isin("A", "N")), ("weight positive", F.c
     CASE WHEN paid NOT BETWEEN 1000 AND 50000 THEN 'paid plausible' END]) AS rule FROM lots) WHERE rule IS NOT NULL"""
 )
 def ledger_violations(spark, d):
-    return Q.violations(T.lots(spark, d).withColumn("line_no", F.col("lot_id") * 10 + F.col("line")), "line_no", RULES)
+    return Q.violations(T.lots(spark, d).withColumn("line_no", F.col("lot_id") * 10 + F.col("line")), "line_no", ledger_rules())
 
 
 @query(ctes("lots") + "SELECT CASE WHEN e > 0.05 THEN 'reject' WHEN e > 0.01 THEN 'warn' ELSE 'ok' END AS verdict, count(*) AS n FROM (SELECT abs(weight * (1 + (lot_id % 9) / 100.0) / weight - 1) AS e FROM lots WHERE lot_id % 9 NOT IN (1, 5)) GROUP BY 1")
