@@ -76,3 +76,18 @@ def test_pipeline_stages(spark):
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_pipeline_stages_take_nulls_and_empty_tables(spark):
+    names = ["doc_id", "text", "lang", "source", "n_chars", "kept", "row"]
+    rows = [(1, "a b c d e", "en", "s", 9, 1, 1), (2, "a b c d e", None, None, None, None, None), (None, None, None, None, None, None, None), (None, None, None, None, None, None, None), (3, "", "en", "s", 0, 1, 1), (4, "x " * 500, "en", "t", 1000, 1, 1), (4, "x " * 500, "en", "t", 1000, 1, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept int, row int"
+    docs, one = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs, one = stage(spark, docs, SMALL), stage(spark, one, SMALL)
+        assert one.count() == 0
+        if k < 4:
+            assert docs.columns == names
+        if k == 1:
+            assert sorted(str(r.doc_id) for r in docs.collect()) == ["2", "3", "4"]
+    assert docs.count() >= 1

@@ -16,6 +16,17 @@ from .common import text_or_empty
 SALTS = 16
 
 
+def _combine(rows: DataFrame, salts: int, row: bool) -> DataFrame:
+    """One row per distinct text of (id, text[, row]): sha, text, keep_id, group_size[, the kept row's ``row``]."""
+    win = [F.max_by("row", F.struct("id")).alias("row")] if row else []
+    rows = rows.withColumns({"sha": F.sha2(F.col("text").cast("binary"), 256), "salt": F.spark_partition_id() % salts})
+    salted = rows.groupBy("sha", "salt", "text").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("n"), *win)
+    merged = salted.repartition("sha").groupBy("sha", "text").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"), *win)
+    texts = merged.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("sha")))
+    clash = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest"))).otherwise(F.col("sha"))
+    return texts.withColumn("sha", clash).drop("texts")
+
+
 def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """(sha, keep_id, group_size): one row per distinct text; keep_id is the largest id.
 
@@ -23,12 +34,7 @@ def text_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with one SHA-256 digest would raise an error, since the texts themselves are compared.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = rows.select("id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), (F.spark_partition_id() % salts).alias("salt"))
-    salted = rows.groupBy("sha", "salt", "text").agg(F.max("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    merged = salted.repartition("sha").groupBy("sha", "text").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    texts = merged.withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("sha")))
-    clash = F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest"))).otherwise(F.col("sha"))
-    return texts.select(clash.alias("sha"), "keep_id", "group_size")
+    return _combine(rows, salts, False).drop("text")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -43,9 +49,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the one its text group keeps; rows repeated whole stay once."""
-    names = docs.columns
-    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("sha"))
-    kept = one.join(text_groups(docs, id_col, text_col, salts), "sha").where(F.col("id").eqNullSafe(F.col("keep_id")))
-    repeats = F.row_number().over(Window.partitionBy("sha").orderBy(F.lit(1)))
-    return kept.withColumn("nth", repeats).where("nth = 1").select("row.*")
+    """One row of ``docs``, all columns, for each distinct text: a row of the id that the group keeps.
+
+    The other columns travel with each combining stage's winner, so no text is joined back. Rows repeated whole stay
+    once; of rows that share id and text, one stays.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.col(f"`{text_col}`").isNull().alias("__null"), *[F.col(f"`{c}`") for c in others])
+    kept = _combine(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), row.alias("row")), salts, True)
+    text = F.when(~F.col("row.__null"), F.col("text")).alias(text_col)
+    return kept.select(*[text if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

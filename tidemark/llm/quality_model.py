@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import byte_texts
 
@@ -135,7 +136,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     return _scored(docs.select(*_inputs(docs, id_col, text_col, chars_col)), machine, "id long, score double", ["id"]).withColumnRenamed("id", id_col)
 
 
-def _scored(rows: DataFrame, machine: Machine, schema: str, carry: list[str]) -> DataFrame:
+def _scored(rows: DataFrame, machine: Machine, schema, carry: list[str]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(machine)
 
     def scan(batches):
@@ -154,5 +155,5 @@ def keep_good(docs: DataFrame, machine: Machine, cut: float = CUT, id_col: str =
     """The rows of ``docs``, all columns, that score ``cut`` or more; texts are scored in place and not shuffled."""
     _, text, chars = _inputs(docs, id_col, text_col, chars_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text, chars)
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, score double"
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
     return _scored(rows, machine, schema, ["row"]).where(F.col("score") >= cut).select("row.*")
