@@ -95,12 +95,15 @@ def test_rules_match_brute_force(spark):
     assert rules.quality_rules(frame(spark, [])).count() == 0
 
 
-def test_mixing_meets_targets(spark):
+def test_mixing_meets_targets(spark, monkeypatch):
     rnd = random.Random(5)
     rows = [(i, " ".join("w" for _ in range(rnd.randint(0, 30))), rnd.choice(["a", "b", "b", "b", "b", "c", None, "é"])) for i in range(800)]
     rows += [(801, None, "a"), (802, "", "empty"), (None, "w w", "b"), (5, rows[5][1], rows[5][2])]
     first = sorted(mixing.mix(frame(spark, rows), cells=64).collect(), key=str)
     assert first == sorted(mixing.mix(frame(spark, rows).repartition(7), cells=16).collect(), key=str)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
+    assert first == sorted(mixing.mix(frame(spark, rows)).collect(), key=str)
+    monkeypatch.undo()
     names = sorted({s for _, _, s in rows if s is not None}) + [None]
     size = {s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in names}
     weight = {s: 1.0 + k % 3 for k, s in enumerate(names)}

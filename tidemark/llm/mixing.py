@@ -18,6 +18,9 @@ CELLS = 1 << 14
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
 SEED = "mix-1"
+#: Sources whose plans, some 100 bytes each, are broadcast; and the parts of a source beyond that.
+FEW_SOURCES = 100_000
+SALTS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -66,11 +69,11 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     cell_sums = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     plan = targets(cell_sums.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, most).withColumnRenamed("source", "s")
     plan = plan.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("int")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    up_to = Window.partitionBy("source").orderBy("cell")
+    up_to = Window.partitionBy("source").orderBy("cell")  # at most ``cells`` rows a source, however many documents
     ends = cell_sums.withColumn("upto", F.sum("cell_size").over(up_to)).join(plan.select("s", "rest"), F.expr("source <=> s")).where("upto > rest")
     ends = ends.groupBy(F.col("source").alias("ended")).agg(F.min(F.struct("cell", (F.col("upto") - F.col("cell_size")).alias("before"))).alias("end"))
     plan = plan.join(ends, F.expr("s <=> ended"), "left").select("s", "source_size", "target", "epochs", "rest", F.col("end.cell").alias("end"), F.col("end.before").alias("before"))
-    known = rows.join(plan, F.expr("source <=> s"))
+    known = _with_plan(rows, cut(plan))
     done = known.where("end is null or cell <> end").withColumn("extra", F.coalesce(F.col("cell") < F.col("end"), F.lit(True)))
     last = known.where("cell = end").withColumn("run", F.sum("size").over(Window.partitionBy("source").orderBy("key", "id", "size")))
     last = last.withColumn("extra", F.col("before") + F.col("run") - F.col("size") / 2 <= F.col("rest")).drop("run")
@@ -79,6 +82,16 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     return both.select(F.col("id").alias(id_col), "size", "source_size", F.round("target", 6).alias("target"), F.least(copies, F.lit(most)).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each row with its source's plan: broadcast up to ``FEW_SOURCES`` sources, counted first; beyond, joined by source and salt."""
+    same = F.expr("source <=> s")
+    if plan.count() <= FEW_SOURCES:
+        return rows.join(F.broadcast(plan), same)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "key"), F.lit(SALTS)))
+    copies = plan.withColumn("plan_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, same & (F.col("salt") == F.col("plan_salt"))).drop("salt", "plan_salt")
+
+
 def take_mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", **named) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it. An id that repeats is taken as its most copies."""
     copies = mix(docs, quality, id_col, **named).where("copies > 0").groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
