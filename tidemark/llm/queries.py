@@ -77,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_language_model, op3_substring_dedup, op4_mixing, op5_secret_scan, op6_warc, op7_exact_dedup, op8_quality_classifier, op9_sentencepiece, op10_quality_rules)}
 
 ORACLE_SQL = {
+    "op3_substring_dedup": substrings.repeats_sql(),
     "op6_warc": """
         SELECT page_id, n::bigint AS payload_bytes, sha1(p) AS payload_digest, CASE WHEN n < 1000 OR page_id = max(page_id) OVER g THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> max(page_id) OVER g THEN max(page_id) OVER g END AS refers_to

@@ -209,10 +209,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = written(texts.mapInArrow(_scan_runs(window), "mark long, run long, id long"), "runs")
     marks = found.groupBy("mark").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("mark")
+    marks = written(marks, "marks")  # a table of its own, so that the join may split a mark that many documents share
     live = written(found.join(marks, "mark", "left_semi"), "live-runs")  # level 1 ends: single half windows go no further
     by_run = live.groupBy("mark", "run").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    by_mark = by_run.groupBy("mark").agg(F.count(F.lit(1)).alias("runs"))
-    by_run = by_run.join(by_mark, "mark").where("high > low or runs > 1").select("mark", "run", "low", "runs")
+    several = written(by_run.groupBy("mark").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1"), "several-runs")
+    by_run = by_run.join(several, "mark", "left").select("mark", "run", "low", "high", F.coalesce("runs", F.lit(1)).alias("runs")).where("high > low or runs > 1").drop("high")
     hits = live.join(by_run, ["mark", "run"]).where("id > low or runs > 1").select("id", F.struct("mark", "run", (F.col("id") > F.col("low")).alias("whole")).alias("hit"))
     hits = hits.groupBy("id").agg(F.collect_list("hit").alias("hits"))
     judged = written(texts.join(hits, "id", "left").select("id", "text", "hits").mapInArrow(_judge(window, finish), _OPEN), "judged")
@@ -223,3 +224,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = unsettled.drop("n_removed", "kept").join(again, "id", "left").select("id", "n_words", "text", "sure", "starts", "mark", "win", "hits")
     settled = settled.mapInArrow(_settle(window, finish), "id long, n_words long, n_removed long, kept string")
     return judged.where("kept is not null").select("id", "n_words", "n_removed", "kept").unionByName(settled).withColumnRenamed("id", id_col)
+
+
+def repeats_sql(window: int = WINDOW) -> str:
+    """DuckDB SQL of ``remove_repeats`` over ``documents`` with the SHA-256 of the kept words; ids are taken as unique."""
+    return rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    k AS (SELECT doc_id, i, md5(array_to_string(words[i:i + {window - 1}], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - {window - 2})) AS i FROM d WHERE len(words) >= {window})),
+    r AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS low FROM k) WHERE low < doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {window})) AS i FROM r),
+    w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+    kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT d.doc_id, len(words)::bigint AS n_words, (len(words) - coalesce(n, 0))::bigint AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
