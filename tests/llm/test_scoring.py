@@ -146,3 +146,16 @@ def test_secret_scan_finds_planted(spark, forest):
     got = {(r.doc_id, r.is_secret) for r in secret_scan.scan(docs, forest).collect()}
     assert got == {(1, True), (2, True), (3, True), (4, False), (5, False), (None, True)}
     assert secret_scan.scan(frame(spark, []), forest).count() == 0
+
+
+def test_secret_scan_takes_every_run_of_a_word(spark, forest):
+    a, b, key = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae", "9c2f7d0a64b1e8355fd07a2c91be46d8f3a05b7e", "wJalrXUtnFEMIK7MDENGbPxRfiCYzR8kTq2LmN0v"
+    rows = [
+        (1, f"aws_secret_access_key={key}", "s"), (2, f"AZURE_CLIENT_SECRET={key}", "s"), (3, f"https://host.com/api/v1/repository/items?token={a}", "s"),
+        (4, f'{{"id":"{a}","token":"{b}"}}', "s"), (5, f"token={a},{b}", "s"),
+    ]
+    got = {(r.doc_id, r.value, r.is_secret) for r in secret_scan.scan(frame(spark, rows), forest).collect()}
+    assert {(i, v) for i, v, secret in got if secret} == {(1, key), (2, key), (3, a), (4, b), (5, a), (5, b)}
+    assert (4, a, False) in got
+    cut = {(r.doc_id, *r.secrets) for r in secret_scan.redact(frame(spark, rows), forest).collect()}
+    assert cut == {(1, key), (2, key), (3, a), (4, b), (5, a, b)}

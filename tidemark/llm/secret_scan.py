@@ -19,6 +19,7 @@ from .common import text_or_empty
 CUT = 0.5
 TREES, DEPTH = 20, 6
 VALUE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+FIELD = r"[^,;&?{}]"
 # Words that placeholders, names and prose are made of; words that announce a secret, and those that announce something else.
 DICTIONARY = "access account after article author backup before build cache change changeme client config content data default demo document download dummy enter example file first from header here image index insert item key latest main management message model module name network number page password path placeholder preview private process product project public report request resource response sample secret section server service session setting simple source state static string system table template test text that the this title token upload user value version with word your".split()
 ANNOUNCE = "password passwd pwd secret token apikey api_key api-key access_key auth authorization bearer credential private_key client_secret aws key".split()
@@ -28,9 +29,10 @@ FEATURES = ["length", "digit_share", "upper_share", "digit_letter_changes", "cas
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, place, value, word, context): a row per candidate word of every whole text; place counts words from 0.
+    """(id, place, value, word, context): a row per candidate of every whole text; place counts words from 0.
 
-    Null and empty texts have no candidate. A word's first run of key characters is its value.
+    Null and empty texts have no candidate. Every run of key characters in a word is a value of its own. Its context
+    is the text before it; in a word of several fields, as of a query string or minified JSON, its own field.
     """
     rows = docs.select(F.col(id_col).alias(id_col), F.split(text_or_empty(text_col), r"[\x20\x09-\x0D]+").alias("words"))
     odd = lambda w: w.rlike(VALUE) & (w.rlike(r"[0-9].*[0-9]") | w.rlike(r"[a-z][A-Z].*[a-z][A-Z]"))
@@ -38,9 +40,19 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near = lambda i, k: F.coalesce(F.get("words", i + k), F.lit(""))
     found = F.transform(at, lambda i: F.struct(i.cast("long").alias("place"), F.get("words", i).alias("word"), F.concat_ws(" ", near(i, -3), near(i, -2), near(i, -1)).alias("before"), near(i, 1).alias("after")))
     rows = rows.where(F.size("words") > 0).select(id_col, F.explode(found).alias("c")).select(id_col, "c.*")
-    rows = rows.withColumn("value", F.regexp_extract("word", VALUE, 0))
-    prefix = F.expr("substring_index(word, value, 1)")
-    return rows.select(id_col, "place", "value", "word", F.lower(F.concat_ws(" ", "before", prefix)).alias("context"), "after")
+    return _runs(rows.withColumn("runs", F.regexp_extract_all("word", F.lit(VALUE), F.lit(0))), VALUE, id_col)
+
+
+def _runs(rows: DataFrame, pattern: str, id_col: str) -> DataFrame:
+    """A row per run of ``runs``, all matches of ``pattern`` in ``word``, with its context."""
+    rows = rows.withColumn("gaps", F.split("word", pattern, -1)).select(id_col, "place", "word", "before", "after", "runs", "gaps", F.posexplode("runs").alias("nth", "value"))
+    ahead = F.concat(F.array_join(F.zip_with(F.slice("gaps", 1, F.col("nth")), F.slice("runs", 1, F.col("nth")), lambda g, r: F.concat(g, r)), ""), F.get("gaps", "nth"))
+    rows = rows.withColumn("ahead", ahead).withColumn("field", F.regexp_extract("ahead", FIELD + "*$", 0))
+    own = (F.col("field") != F.col("ahead")) & F.col("field").rlike("[A-Za-z]")
+    behind = F.expr("substring(word, char_length(ahead) + char_length(value) + 1)")
+    word = F.when(own, F.concat("field", "value", F.regexp_extract(behind, "^" + FIELD + "*", 0))).otherwise(F.col("word"))
+    context = F.when(own, F.col("field")).otherwise(F.concat_ws(" ", "before", "ahead"))
+    return rows.select(id_col, "place", "value", word.alias("word"), F.lower(context).alias("context"), "after")
 
 
 def featured(found: DataFrame) -> DataFrame:
@@ -103,6 +115,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (0, F.concat(syllables(5), syllables(11), pick(8, 90).cast("string"), F.lit("7")), F.concat(prose, F.lit(" "))),
         (0, F.lpad(F.conv(F.substring(d, 1, 12), 16, 10), 16, "4"), F.concat(of(4, ["order", "phone", "invoice", "isbn", "no."]), F.lit(" "))),
         (0, F.concat(F.lit("20240"), pick(6, 9).cast("string"), F.lit("-"), word(7), F.lit("_"), word(5), F.lit("_"), pick(8, 99).cast("string"), F.lit("x11")), F.concat(of(4, ["file", "image", "the"]), F.lit(" "))),
+        (0, F.concat(word(5), F.lit("_"), word(6), F.lit("_"), of(7, ["secret", "token", "key", "password", "id"]), F.lit("=")), F.concat(prose, F.lit(" "))),
+        (0, F.upper(F.concat(of(4, BIGRAMS), of(5, BIGRAMS), F.lit("_"), word(6), F.lit("_"), of(7, ["secret", "token", "key", "password", "id"]), F.lit("="))), F.concat(prose, F.lit(" "))),
     ]
     kind = F.element_at(F.array(*[F.struct(F.lit(y).alias("label"), v.alias("value"), c.alias("context")) for y, v, c in kinds]), (F.col("id") % len(kinds) + 1).cast("int"))
     rows = spark.range(0, n, numPartitions=4).select("id", kind.alias("k")).select("id", "k.*")
