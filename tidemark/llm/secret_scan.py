@@ -1,7 +1,7 @@
 """Secret scans: candidates by rules, false positives removed by a random forest, all in DataFrame expressions.
 
-A candidate is a run of 16 or more key characters with two digits or two changes of case within one word. Its
-features are length, character transitions, coverage by dictionary words, path shape and the neighbouring words. The
+A candidate is a run of key characters within a word: of 16 or more, or of any length if it starts as a known kind of
+key or its context announces a secret. Digits and case are left to the forest. Its features are length, character transitions, coverage by dictionary words, path shape and the neighbouring words. The
 forest is fitted by Spark's own library on labelled findings and walked as an array expression, so scanning a
 corpus is one projection over its words without user functions or a shuffle.
 """
@@ -19,6 +19,9 @@ from .common import text_or_empty
 CUT = 0.5
 TREES, DEPTH = 20, 6
 VALUE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+RUN = r"[A-Za-z0-9+/_\-]+={0,2}"
+SHORT_PREFIX = r"gh[pousr]_|sk[-_]|xox[abp]-|eyJ"
+KNOWN = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^(?:" + SHORT_PREFIX + ")"
 FIELD = r"[^,;&?{}]"
 # Words that placeholders, names and prose are made of; words that announce a secret, and those that announce something else.
 DICTIONARY = "access account after article author backup before build cache change changeme client config content data default demo document download dummy enter example file first from header here image index insert item key latest main management message model module name network number page password path placeholder preview private process product project public report request resource response sample secret section server service session setting simple source state static string system table template test text that the this title token upload user value version with word your".split()
@@ -35,12 +38,23 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     is the text before it; in a word of several fields, as of a query string or minified JSON, its own field.
     """
     rows = docs.select(F.col(id_col).alias(id_col), F.split(text_or_empty(text_col), r"[\x20\x09-\x0D]+").alias("words"))
-    odd = lambda w: w.rlike(VALUE) & (w.rlike(r"[0-9].*[0-9]") | w.rlike(r"[a-z][A-Z].*[a-z][A-Z]"))
-    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.char_length(F.get("words", i)) >= 16) & odd(F.get("words", i)))
+    rows = rows.withColumn("hits", F.transform("words", lambda w: F.lower(w).rlike(_tokens(ANNOUNCE))))
+    hit = lambda i: F.exists(F.slice("hits", F.greatest(i - 2, F.lit(1)), F.least(i + 1, F.lit(4))), lambda h: h)
+    apt = lambda w: w.rlike(VALUE) | w.rlike(r"(?:^|[^A-Za-z0-9+/_\-])(?:" + SHORT_PREFIX + ")")
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: apt(F.get("words", i)) | hit(i))
     near = lambda i, k: F.coalesce(F.get("words", i + k), F.lit(""))
     found = F.transform(at, lambda i: F.struct(i.cast("long").alias("place"), F.get("words", i).alias("word"), F.concat_ws(" ", near(i, -3), near(i, -2), near(i, -1)).alias("before"), near(i, 1).alias("after")))
     rows = rows.where(F.size("words") > 0).select(id_col, F.explode(found).alias("c")).select(id_col, "c.*")
-    return _runs(rows.withColumn("runs", F.regexp_extract_all("word", F.lit(VALUE), F.lit(0))), VALUE, id_col)
+    runs = _runs(rows.withColumn("runs", F.regexp_extract_all("word", F.lit(RUN), F.lit(0))), RUN, id_col)
+    return runs.where(F.col("value").rlike("^" + VALUE) | F.col("value").rlike(KNOWN) | F.col("context").rlike(OPEN))
+
+
+def _tokens(names: list[str]) -> str:
+    return "(?:^|[^a-z])(?:" + "|".join(map(re.escape, names)) + ")(?:$|[^a-z])"
+
+
+#: A context that announces a secret and holds no value for it yet.
+OPEN = _tokens(ANNOUNCE).replace("(?:$|[^a-z])", r"(?:[^a-z=:][^=:]*)?(?:[=:]+>?[\s\"'\[({]*)?$")
 
 
 def _runs(rows: DataFrame, pattern: str, id_col: str) -> DataFrame:
@@ -61,7 +75,6 @@ def featured(found: DataFrame) -> DataFrame:
     size = F.char_length(v).cast("double")
     count = lambda pattern, x=v: F.regexp_count(x, F.lit(pattern)).cast("double")
     words = "|".join(sorted(DICTIONARY, key=lambda x: (-len(x), x)))
-    tokens = lambda names: "(?:^|[^a-z])(?:" + "|".join(map(re.escape, names)) + ")(?:$|[^a-z])"
     flag = lambda x: x.cast("int").cast("double")
     made = {
         "length": size,
@@ -78,10 +91,10 @@ def featured(found: DataFrame) -> DataFrame:
         "slashes": count("/"),
         "path_shape": flag(w.rlike(r"://|^www\.|^[./~]|/.*/|\.[a-z]{2,4}$")),
         "separators": count("[_-]"),
-        "announced": flag(c.rlike(tokens(ANNOUNCE))),
-        "other_context": flag(c.rlike(tokens(OTHER))),
+        "announced": flag(c.rlike(_tokens(ANNOUNCE))),
+        "other_context": flag(c.rlike(_tokens(OTHER))),
         "assigned": flag(c.rlike(r"[=:]\s*[\"']?$")),
-        "known_prefix": flag(v.rlike("^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^sk[-_]|^xox[abp]-|^eyJ")),
+        "known_prefix": flag(v.rlike(KNOWN)),
     }
     return found.withColumns({k: F.coalesce(x, F.lit(0.0)) for k, x in made.items()})
 
@@ -97,7 +110,8 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     b64 = F.regexp_replace(F.base64(F.unhex(F.substring(d, 1, 60))), "[+/=]", "")
     upper = F.substring(F.upper(F.translate(F.substring(b64, 1, 32), "-_", "AB")), 1, 16)
     word = lambda k: of(k, DICTIONARY)
-    syllables = lambda k: F.concat(*[of(k + j, BIGRAMS) for j in range(5)])
+    syllables = lambda k, n=5: F.concat(*[of(k + j, BIGRAMS) for j in range(n)])
+    letters = F.translate(b64, "0123456789", "qXzKwJvHgB")
     hexes = lambda size: F.substring(d, 1, size)
     key = of(0, ["password", "token", "secret", "api_key", "auth", "access_key", "passwd"])
     other = of(1, ["commit", "sha256", "md5", "checksum", "uuid", "id", "revision", "digest", "file", "see"])
@@ -117,11 +131,21 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
         (0, F.concat(F.lit("20240"), pick(6, 9).cast("string"), F.lit("-"), word(7), F.lit("_"), word(5), F.lit("_"), pick(8, 99).cast("string"), F.lit("x11")), F.concat(of(4, ["file", "image", "the"]), F.lit(" "))),
         (0, F.concat(word(5), F.lit("_"), word(6), F.lit("_"), of(7, ["secret", "token", "key", "password", "id"]), F.lit("=")), F.concat(prose, F.lit(" "))),
         (0, F.upper(F.concat(of(4, BIGRAMS), of(5, BIGRAMS), F.lit("_"), word(6), F.lit("_"), of(7, ["secret", "token", "key", "password", "id"]), F.lit("="))), F.concat(prose, F.lit(" "))),
+        (1, F.concat(F.lit("AKIA"), F.translate(upper, "0123456789", "QXZKWJVHGB")), F.concat(prose, F.lit(" "))), (1, F.substring(letters, 1, 28), F.concat(key, put)),
+        (1, F.substring(letters, 1, 40), F.concat(prose, F.lit(" "))), (1, hexes(10), F.concat(key, put)), (1, F.substring(b64, 1, 11), F.concat(key, put)),
+        (1, F.concat(syllables(5, 3), pick(8, 99).cast("string")), F.concat(key, put)), (1, F.lower(F.substring(letters, 1, 10)), F.concat(key, put)),
+        (0, word(5), F.concat(key, put)), (0, syllables(5, 2), F.concat(key, F.lit(" of "))), (0, word(5), F.concat(key, F.lit(" "))),
+        (0, of(5, ["true", "false", "null", "none", "string", "required", "optional", "xxxx"]), F.concat(key, put)),
+        (0, F.concat(syllables(5), syllables(10)), F.concat(prose, F.lit(" "))), (0, F.initcap(F.concat(syllables(5), syllables(10), syllables(15, 3))), F.concat(prose, F.lit(" "))),
+        (0, F.upper(F.concat(syllables(5), syllables(10))), F.concat(prose, F.lit(" "))), (0, F.upper(F.concat(syllables(5, 4), syllables(9, 4), syllables(13))), F.concat(key, F.lit(" "))),
+        (0, F.concat(word(5), F.lit("-"), syllables(6), F.lit("-"), word(12)), F.concat(prose, F.lit(" "))),
+        (0, F.concat(word(5), F.initcap(word(6)), F.initcap(word(7)), F.initcap(word(8))), F.concat(prose, F.lit(" "))),
+        (0, F.concat(word(5), F.lit("/"), syllables(6), F.lit("/"), word(12)), F.concat(of(4, ["https://example.com/", "path ", "see ", "the "]))),
     ]
     kind = F.element_at(F.array(*[F.struct(F.lit(y).alias("label"), v.alias("value"), c.alias("context")) for y, v, c in kinds]), (F.col("id") % len(kinds) + 1).cast("int"))
     rows = spark.range(0, n, numPartitions=4).select("id", kind.alias("k")).select("id", "k.*")
     head = F.when(F.col("context").rlike(r"[=:/\"']$"), F.regexp_extract("context", r"\S*$", 0)).otherwise("")
-    return rows.select("id", "value", F.concat(head, "value").alias("word"), F.lower("context").alias("context"), "label").where(F.char_length("value") >= 16)
+    return rows.select("id", "value", F.concat(head, "value").alias("word"), F.lower("context").alias("context"), "label")
 
 
 def fit(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> list:
