@@ -51,6 +51,20 @@ def test_language_model_empty(spark):
     assert (got.n_known, got.base_score, got.score) == (0, 0.0, 0.0)
 
 
+def test_language_model_rare_words_depend_on_context(spark):
+    rnd, classes = random.Random(6), language_model.class_number(900)
+    assert 1 < classes < language_model.class_number(90_000) < language_model.class_number(9_000_000)
+    words = [f"rare{k}" for k in range(900)]
+    # two tokens back decides the half of classes that a word is from; the token before says nothing
+    kind = lambda w: zlib.crc32(w.encode()) % classes < classes // 2
+    rows = [(i, " ".join(f"{'left' if kind(w) else 'right'} mid {w}" for w in rnd.sample(words, 60)), "s") for i in range(120)]
+    probes = [w for w in words[:40]]
+    asked = [(1000 + 2 * k + side, f"{name} mid {w}", "s") for k, w in enumerate(probes) for side, name in enumerate(("left", "right"))]
+    got = {r.doc_id: r.score - r.base_score for r in language_model.score_documents(frame(spark, rows + asked), F.col("doc_id") < 1000, top=4, hot=50).collect()}
+    right = sum((got[1000 + 2 * k] > got[1001 + 2 * k]) == kind(w) for k, w in enumerate(probes))
+    assert right >= 0.9 * len(probes)
+
+
 def test_factorisation_machine_identity_and_accuracy(spark):
     rng = np.random.default_rng(1)
     m = quality_model.Machine(0.3, rng.normal(size=quality_model.BUCKETS + len(quality_model.STATS)), rng.normal(size=(quality_model.BUCKETS + len(quality_model.STATS), 3)), np.zeros(len(quality_model.STATS)), np.ones(len(quality_model.STATS)))
