@@ -1,12 +1,12 @@
-"""Substring dedup by level-wise doubling.
+"""Substring dedup by two levels, the second of twice the length of the first.
 
 Level 1 looks at windows of half the length. Not all of them: in each full window the half window of lowest hash is
 its mark, so two equal full windows have the same mark, and a document yields about one mark in 13 words. Only marks
 that occur in two documents are extended. Level 2, at twice the length, first compares *runs*: the stretch of words
 under all full windows that share one mark. A run found in a smaller document is repeated whole; where the documents
 of a mark differ in their runs, the first document of each distinct run sends its full windows one by one. A common
-passage therefore costs one row per document and mark, and its windows are sent once per distinct run. With
-``longest`` above ``window`` the surviving windows go on to twice the length until no candidate survives.
+passage therefore costs one row per document and mark, and its windows are sent once per distinct run. Doubling stops
+at the window length.
 
 Windows are compared by two independent 64-bit polynomial hashes of 64-bit word hashes.
 """
