@@ -105,7 +105,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     No table of labelled findings exists here; any table with these columns takes this one's place in ``fit``.
     """
     d = F.sha2(F.concat(F.lit("finding-"), F.col("id").cast("string")).cast("binary"), 512)
-    pick = lambda k, m: F.conv(F.substring(d, 100 + 2 * k, 2), 16, 10).cast("int") % m
+    pick = lambda k, m: F.conv(F.substring(d, 100 + 2 * (k % 14), 2), 16, 10).cast("int") % m
     of = lambda k, names: F.element_at(F.array(*map(F.lit, names)), pick(k, len(names)) + 1)
     b64 = F.regexp_replace(F.base64(F.unhex(F.substring(d, 1, 60))), "[+/=]", "")
     upper = F.substring(F.upper(F.translate(F.substring(b64, 1, 32), "-_", "AB")), 1, 16)
