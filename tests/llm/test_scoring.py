@@ -31,7 +31,7 @@ def test_language_model_base_is_exact_and_model_is_better(spark):
         if not held(i):
             count.update(tokens(t))
     n, v = sum(count.values()), len(count)
-    got = language_model.score_documents(frame(spark, rows), crc_bucket("doc_id", 7) != 2, top=40, hot=50).collect()
+    got = language_model.score_documents(frame(spark, rows), crc_bucket("doc_id", 7) != 2, most=40, share=3000).collect()
     want = sorted((str(i), len(tokens(t)), sum(count[w] > 0 for w in tokens(t)), round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for i, t, _ in rows)
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6)) for r in got) == want
     assert {r.train_tokens for r in got} == {n}
@@ -39,10 +39,50 @@ def test_language_model_base_is_exact_and_model_is_better(spark):
     assert sum(r.score for r in out) > sum(r.base_score for r in out) + 20
 
 
-def test_language_model_probabilities_sum_to_one():
-    rng = np.random.default_rng(2)
-    model = language_model.fit(rng.integers(0, 50, (12, 11)).astype(float), steps=40)
-    assert np.allclose((10 ** model.log10(5).astype(float)).sum(1), 1, atol=1e-4)
+def slow_log10(s, words):
+    """Score of a text by the definition, one token and one softmax at a time."""
+    v, total = s.v, 0.0
+    leaf = {t: int(i) for t, i in zip(v.names, v.leaf, strict=False)}
+    of = lambda w: leaf.get(w, int(v.leaf[len(v.names) + zlib.crc32(w[-3:]) % v.classes]))
+    past = [v.start] * language_model.BACK
+    for w in [*words, b" "]:
+        h = sum(p.astype(float) * s.rows[x].astype(float) for p, x in zip(s.distance, reversed(past), strict=True))
+        for k, q in enumerate(s.levels):
+            child = of(w) // language_model.FAN ** (len(s.levels) - 1 - k)
+            first = child // language_model.FAN * language_model.FAN
+            z = q[first : first + language_model.FAN].astype(float) @ np.append(h, 1.0)
+            total += (z[child - first] - np.log(np.exp(z).sum())) / np.log(10)
+        if w not in leaf:
+            total += math.log10((s.counts_of.get(w, 0) + 1) / v.tail[of(w)])
+        past = [*past[1:], of(w)]
+    return total
+
+
+def test_language_model_scores_equal_the_definition(spark):
+    rnd = random.Random(8)
+    rows = [(i, t + " " + " ".join(f"once{rnd.randint(0, 400)}" for _ in range(6)), "s") for i, t in enumerate(texts(9, 150))] + [(500, "new words Here once1 " * 40, "s"), (501, None, "s"), (502, "x " * 3000, "s")]
+    docs = frame(spark, rows)
+    scorer, others = language_model.train(docs.where("doc_id < 500").select("text"), most=150, share=3000)
+    assert len(scorer.levels) > 1 and len(scorer.v.names) <= 151
+    scorer.counts_of = {bytes(r.token): r.n for r in others.collect()}
+    got = {r.doc_id: r.score for r in language_model.score(docs, scorer, others).collect()}
+    for i, t, _ in rows[::15] + rows[-3:]:
+        assert math.isclose(got[i], slow_log10(scorer, (t or "").encode().lower().split()), rel_tol=1e-4)
+    ids = np.array([scorer.v.start] * language_model.BACK + [0, 7, 3])
+    every = [np.append(ids, k) for k in range(scorer.v.start)]
+    p = scorer.ready().log10(np.concatenate(every), np.arange(len(every)) * (len(ids) + 1) + len(ids))
+    assert np.isclose((10**p).sum(), 1, atol=1e-4)
+    own = dict(zip(scorer.v.names, scorer.v.leaf, strict=False))
+    inside = [(language_model.token_class(t, scorer.v.classes), n + 1) for t, n in scorer.counts_of.items() if t not in own]
+    tails = scorer.v.tail[scorer.v.leaf[len(scorer.v.names) :]]
+    assert np.allclose(tails, 1 + np.bincount([c for c, _ in inside], [n for _, n in inside], scorer.v.classes))
+
+
+def test_language_model_blocks_average_by_weight():
+    a = language_model.pack(np.array([1, 5]), np.array([1.0, 2.0]), np.array([[2.0, 0.0], [1.0, 1.0]]))
+    b = language_model.pack(np.array([5]), np.array([6.0]), np.array([[5.0, -3.0]]))
+    rows, weight, change = language_model.unpack(language_model.average([a, b], 2), 2)
+    assert rows.tolist() == [1, 5] and weight.tolist() == [1, 8] and change.tolist() == [[2, 0], [4, -2]]
 
 
 def test_language_model_empty(spark):
@@ -51,18 +91,17 @@ def test_language_model_empty(spark):
     assert (got.n_known, got.base_score, got.score) == (0, 0.0, 0.0)
 
 
-def test_language_model_rare_words_depend_on_context(spark):
-    rnd, classes = random.Random(6), language_model.class_number(900)
-    assert 1 < classes < language_model.class_number(90_000) < language_model.class_number(9_000_000)
-    words = [f"rare{k}" for k in range(900)]
-    # two tokens back decides the half of classes that a word is from; the token before says nothing
-    kind = lambda w: zlib.crc32(w.encode()) % classes < classes // 2
-    rows = [(i, " ".join(f"{'left' if kind(w) else 'right'} mid {w}" for w in rnd.sample(words, 60)), "s") for i in range(120)]
-    probes = [w for w in words[:40]]
-    asked = [(1000 + 2 * k + side, f"{name} mid {w}", "s") for k, w in enumerate(probes) for side, name in enumerate(("left", "right"))]
-    got = {r.doc_id: r.score - r.base_score for r in language_model.score_documents(frame(spark, rows + asked), F.col("doc_id") < 1000, top=4, hot=50).collect()}
-    right = sum((got[1000 + 2 * k] > got[1001 + 2 * k]) == kind(w) for k, w in enumerate(probes))
-    assert right >= 0.9 * len(probes)
+def test_language_model_unseen_words_depend_on_context(spark):
+    rnd = random.Random(6)
+    assert 1 < language_model.class_number(900) < language_model.class_number(90_000) < language_model.class_number(9_000_000)
+    # two tokens back decides the ending of a word that no text repeats; the token before says nothing
+    word = lambda k, end: f"w{k}{end}"
+    rows = [(i, " ".join(f"{name} mid {word(rnd.randint(0, 10**9), end)}" for _ in range(30) for name, end in (("left", "ung"), ("right", "ion"))), "s") for i in range(120)]
+    cases = [(name, end, k) for name in ("left", "right") for end in ("ung", "ion") for k in range(10)]
+    asked = [(1000 + n, f"{name} mid {word(10**10 + k, end)}", "s") for n, (name, end, k) in enumerate(cases)]
+    got = {r.doc_id: r.score for r in language_model.score_documents(frame(spark, rows + asked), F.col("doc_id") < 1000, most=4).collect()}
+    score = {case: got[1000 + n] for n, case in enumerate(cases)}
+    assert all(score["left", "ung", k] > score["left", "ion", k] + 0.2 and score["right", "ion", k] > score["right", "ung", k] + 0.2 for k in range(10))
 
 
 def test_factorisation_machine_identity_and_accuracy(spark):
