@@ -104,7 +104,8 @@ def test_exact_matches_brute_force(spark):
 
 @pytest.mark.parametrize("window", [50, 8])
 def test_substrings_match_brute_force(spark, window):
-    rows = corpus()
+    long = " ".join(f"w{(k * k) % 4001}" for k in range(30_000))
+    rows = [*corpus(), (301, long), (302, "other start " + long)]
     first = {}
     docs = [(i, (t or "").encode().split()) for i, t in rows]
     grams = lambda w: (b" ".join(w[p : p + window]) for p in range(len(w) - window + 1))
@@ -127,3 +128,18 @@ def test_substrings_match_brute_force(spark, window):
 
 def test_substrings_empty(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_substrings_half_windows_and_bitmap(spark, monkeypatch):
+    # a full window survives if every aligned half window in it does
+    got = substrings._survivors([1, 2, 7], 12, 8).tolist()
+    assert got == [all(k in (1, 2, 7) for k in range(5) if p <= 4 * k and 4 * k + 4 <= p + 8) for p in range(12)]
+    ids = [-5, 0, 3, 10**15]
+    bits, marks = substrings.id_bitmap(spark.createDataFrame([(i,) for i in ids], "id long"), len(ids))
+    on = lambda i: marks[(b := int(substrings._bit(substrings.np.array([i], "int64"), bits)[0])) >> 3] >> (7 - (b & 7)) & 1
+    assert all(on(i) for i in ids) and sum(on(i) for i in range(100, 1100)) < 10
+    # a bitmap without a free bit sends every document on, with the same result
+    rows = corpus(n=40)
+    want = sorted((r.doc_id is None, r.doc_id, r.n_removed, r.kept) for r in substrings.remove_repeats(frame(spark, rows), window=8).collect())
+    monkeypatch.setattr(substrings, "id_bitmap", lambda ids, n: (16, substrings.np.full(1 << 13, 255, "uint8")))
+    assert want == sorted((r.doc_id is None, r.doc_id, r.n_removed, r.kept) for r in substrings.remove_repeats(frame(spark, rows), window=8).collect())

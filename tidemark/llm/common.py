@@ -6,6 +6,7 @@ six bytes, so Python code works on UTF-8 bytes and never on ``str.split()``, whi
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; a temporary one is set only where none is configured."""
+    """The checkpoint folder that driver and executors share. Where none is set, a session in one process gets a temporary
+    one, as in tests; on a cluster that is an error, since executors don't see the driver's folders."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
 
@@ -44,6 +49,11 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a table's size, for choosing numbers of parts; an estimate changes no result."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

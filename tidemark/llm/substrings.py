@@ -1,14 +1,20 @@
-"""Substring dedup by two levels, the second of twice the length of the first.
-
-Level 1 looks at windows of half the length. Not all of them: in each full window the half window of lowest hash is
-its mark, so two equal full windows have the same mark, and a document yields about one mark in 13 words. Only marks
-that occur in two documents are extended. Level 2, at twice the length, first compares *runs*: the stretch of words
-under all full windows that share one mark. A run found in a smaller document is repeated whole; where the documents
-of a mark differ in their runs, the first document of each distinct run sends its full windows one by one. A common
-passage therefore costs one row per document and mark, and its windows are sent once per distinct run. Doubling stops
-at the window length.
-
-Windows are compared by two independent 64-bit polynomial hashes of 64-bit word hashes.
+"""Substring dedup by level-wise doubling: 25 words, then 50.
+
+Level 1 counts the windows of half the length, at every word of every text, by 64-bit hashes. Tasks hold the distinct
+hashes of their documents, two of one hash that several of them share, and send them packed, sorted by hash and cut in
+as many buckets as the input's size asks for; a bucket gives the hashes found twice, however common they are. Every full
+window of a document has an aligned half window in it (one that starts at a multiple of its length), so a document asks
+for its aligned half windows only, by a join that may be split. Those that repeat are extended: a window of twice the
+length goes on to level 2 if all aligned half windows in it are repeated. Documents without one are finished where they
+are read; a bitmap of ids of bounded size tells them apart, and where it is too full more documents go on than need to.
+
+Level 2 compares *runs* of surviving windows first: a run is the stretch of words under neighbouring full windows whose
+half window of lowest hash, the mark, is the same, so that runs don't depend on where a passage lies. A run found in a
+smaller document is repeated whole; where the documents of a mark differ in their runs, full windows are sent one by
+one. A common passage therefore costs one row per document and mark. Doubling stops at the window length: longer
+repeats are covered by their windows.
+
+Windows of level 2 are compared by two independent 64-bit polynomial hashes of 64-bit word hashes.
 """
 
 from __future__ import annotations
@@ -22,10 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, written
+from .common import byte_texts, input_bytes, written
 
 WINDOW = 50
 MEMO = 500_000
+#: Half windows that a task sorts at once; bytes of input a bucket; least and most bits of a bucket's number.
+SORTED = 2_000_000
+BUCKET_BYTES, BUCKET_BITS = 4 << 20, (8, 20)
+#: Bits of the bitmap of ids, at most (16 MB).
+ID_BITS = 27
 #: Odd multipliers of the two polynomials (fixed values) and of the mixing step.
 BASES = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -100,23 +111,165 @@ def _run_keys(h: Hashes, first, last, window) -> np.ndarray:
         return (h.of(1, first, length) ^ length.astype(np.uint64)) * MIX
 
 
-def _scan_runs(window: int):
-    """(mark, run, id) of every distinct run of each document."""
+def _halves(window: int, bits: int):
+    """(bucket, low): distinct hashes of half windows of a batch of documents, packed as their low 32 bits by bucket."""
+    half = window // 2
+
+    def packed(parts):
+        hashes = np.concatenate([x for x, _ in parts])
+        docs = np.concatenate([np.full(len(x), i, np.int64) for x, i in parts])
+        order = np.argsort(hashes)
+        hashes, docs = hashes[order], docs[order]
+        first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+        several = np.minimum.reduceat(docs, first) < np.maximum.reduceat(docs, first)
+        kept = np.repeat(hashes[first], 1 + several)
+        bucket = (kept >> np.uint64(64 - bits)).astype(np.int64)
+        low = ((kept >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+        starts = np.concatenate(([0], ends[:-1]))
+        blobs = [low[f:z].tobytes() for f, z in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(blobs, pa.binary())], ["bucket", "low"])
 
     def scan(batches):
+        parts, size = [], 0
         for b in batches:
-            parts: list = []
             for i, t in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
                 words = t.split()
                 if i is None or len(words) < window:
                     continue
+                parts.append((Hashes(words).of(0, np.arange(len(words) - half + 1), half), i))
+                size += len(words)
+                if size >= SORTED:
+                    yield packed(parts)
+                    parts, size = [], 0
+        if parts:
+            yield packed(parts)
+
+    return scan
+
+
+def _twice(bits: int):
+    """(half): the hashes, cut to the bits that were sent, that a bucket holds twice or more."""
+
+    def find(key, tab):
+        low = np.sort(np.frombuffer(b"".join(tab.column("low").to_pylist()), np.uint32))
+        again = np.unique(low[1:][low[1:] == low[:-1]]).astype(np.int64)
+        return pa.table([pa.array(again | (key[0].as_py() << 32))], names=["half"])
+
+    return find
+
+
+def _aligned(window: int, bits: int):
+    """(half, id, block): the aligned half windows of each document."""
+    half = window // 2
+
+    def scan(batches):
+        for b in batches:
+            hashes, ids, blocks, size = [], [], [], 0
+            for i, t in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
+                words = t.split()
+                if i is None or len(words) < window:
+                    continue
+                at = np.arange(0, len(words) - half + 1, half)
+                hashes.append(Hashes(words).of(0, at, half) >> np.uint64(32 - bits))
+                ids.append(np.full(len(at), i, np.int64))
+                blocks.append(at // half)
+                size += len(at)
+                if size >= 100_000:
+                    yield made(hashes, ids, blocks)
+                    hashes, ids, blocks, size = [], [], [], 0
+            if hashes:
+                yield made(hashes, ids, blocks)
+
+    def made(hashes, ids, blocks):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(blocks).astype(np.int32))], ["half", "id", "block"])
+
+    return scan
+
+
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = ids.view(np.uint64) * MIX
+    return ((x ^ (x >> np.uint64(31))) * BASES[0] >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def id_bitmap(ids: DataFrame, count: int) -> tuple[int, np.ndarray]:
+    """(bits, bitmap) of the ids' hashes: sixteen bits an id, up to 2^``ID_BITS`` in all."""
+    bits = min(ID_BITS, max(16, (16 * count).bit_length()))
+
+    def scan(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bit(b.column(0).to_numpy(zero_copy_only=False), bits)))], ["bit"])
+
+    def chunk(key, tab):
+        marks = np.zeros(1 << 16, np.uint8)
+        marks[tab.column("bit").to_numpy() & 0xFFFF] = 1
+        return pa.table([pa.array([key[0].as_py()]), pa.array([np.packbits(marks).tobytes()], pa.binary())], names=["chunk", "marks"])
+
+    found = ids.mapInArrow(scan, "bit long").distinct().groupBy(F.shiftright("bit", 16).alias("chunk")).applyInArrow(chunk, "chunk long, marks binary").toArrow()
+    marks = np.zeros((1 << bits) // 8, np.uint8)
+    for c, m in zip(found["chunk"].to_pylist(), found["marks"].to_pylist(), strict=True):
+        marks[c << 13 : (c + 1) << 13] = np.frombuffer(m, np.uint8)
+    return bits, marks
+
+
+def _finish_clean(shared, bits: int, finish):
+    """Documents whose id's bit isn't set, finished; the others with their text."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = ["id", "n_words", "n_removed", "kept", "text"]
+
+    def scan(batches):
+        marks = shared.value
+        for b in batches:
+            for begin in range(0, b.num_rows, 500):
+                part = b.slice(begin, 500)
+                ids = part.column(0).to_pylist()
+                bit = _bit(np.array([i or 0 for i in ids], np.int64), bits)
+                on = (marks[bit >> 3] >> (7 - (bit & 7)) & 1).tolist()
+                out = []
+                for i, t, o in zip(ids, byte_texts(part.column(1)), on, strict=True):
+                    if o and i is not None:
+                        out.append((i, None, None, None, t))
+                    else:
+                        words = t.split()
+                        out.append((i, len(words), 0, finish(b" ".join(words)), None))
+                arrays = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+                arrays[4] = arrays[4].cast(pa.string())
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    return scan
+
+
+def _survivors(blocks, windows: int, window: int) -> np.ndarray:
+    """By full window: whether all aligned half windows in it are among ``blocks``."""
+    half = window // 2
+    alive = np.zeros(max(windows // half + 3, max(blocks) + 1), bool)  # blocks of other rows of this id may lie beyond
+    alive[list(blocks)] = True
+    at = np.arange(windows)
+    first = -(-at // half)
+    return alive[first] & (alive[first + 1] | (at + window < (first + 2) * half))
+
+
+def _scan_runs(window: int):
+    """(mark, run, id) of every distinct run of each document that holds a surviving window."""
+
+    def scan(batches):
+        for b in batches:
+            parts, size = [], 0
+            for i, t, blocks in zip(b.column("id").to_pylist(), byte_texts(b.column("text")), b.column("blocks").to_pylist(), strict=True):
+                words = t.split()
+                if not blocks or len(words) < window:
+                    continue
                 h = Hashes(words)
+                alive = np.concatenate(([0], np.cumsum(_survivors(blocks, len(words) - window + 1, window))))
                 mark, first, last = runs(h, window)
-                both = np.unique(np.stack([mark, _run_keys(h, first, last, window)], 1), axis=0)
+                on = alive[last + 1] > alive[first]
+                both = np.unique(np.stack([mark[on], _run_keys(h, first[on], last[on], window)], 1), axis=0)
                 parts.append((both, np.full(len(both), i, np.int64)))
-                if sum(len(x) for x, _ in parts[-1:]) > 50_000 or len(parts) >= 500:
+                size += len(both)
+                if size > 50_000:
                     yield _run_batch(parts)
-                    parts = []
+                    parts, size = [], 0
             if parts:
                 yield _run_batch(parts)
 
@@ -207,23 +360,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("window must be 4 words or more")
     finish = FINISH[output]
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = written(texts.mapInArrow(_scan_runs(window), "mark long, run long, id long"), "runs")
-    marks = found.groupBy("mark").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("mark")
-    marks = written(marks, "marks")  # a table of its own, so that the join may split a mark that many documents share
-    live = written(found.join(marks, "mark", "left_semi"), "live-runs")  # level 1 ends: single half windows go no further
+    spark = docs.sparkSession
+    low, high = BUCKET_BITS
+    bits = min(high, max(low, (input_bytes(docs) // BUCKET_BYTES).bit_length()))
+    # level 1: half windows in two documents, asked for by aligned half windows; both are tables, so that the join may split
+    again = written(texts.mapInArrow(_halves(window, bits), "bucket long, low binary").groupBy("bucket").applyInArrow(_twice(bits), "half long"), "halves")
+    asked = written(texts.mapInArrow(_aligned(window, bits), "half long, id long, block int"), "aligned")
+    alive = written(asked.join(again, "half", "left_semi").groupBy("id").agg(F.collect_set("block").alias("blocks")), "alive")
+    bits, marks = id_bitmap(alive.select("id"), alive.count())
+    read = written(texts.mapInArrow(_finish_clean(spark.sparkContext.broadcast(marks), bits, finish), "id long, n_words long, n_removed long, kept string, text string"), "read")
+    clean = read.where("kept is not null").drop("text")
+    opened = written(read.where("kept is null").join(alive, "id", "left").select("id", "text", "blocks"), "opened")
+    # level 2
+    live = written(opened.mapInArrow(_scan_runs(window), "mark long, run long, id long"), "live-runs")
     by_run = live.groupBy("mark", "run").agg(F.min("id").alias("low"), F.max("id").alias("high"))
     several = written(by_run.groupBy("mark").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1"), "several-runs")
     by_run = by_run.join(several, "mark", "left").select("mark", "run", "low", "high", F.coalesce("runs", F.lit(1)).alias("runs")).where("high > low or runs > 1").drop("high")
     hits = live.join(by_run, ["mark", "run"]).where("id > low or runs > 1").select("id", F.struct("mark", "run", (F.col("id") > F.col("low")).alias("whole")).alias("hit"))
     hits = hits.groupBy("id").agg(F.collect_list("hit").alias("hits"))
-    judged = written(texts.join(hits, "id", "left").select("id", "text", "hits").mapInArrow(_judge(window, finish), _OPEN), "judged")
+    judged = written(opened.join(hits, "id", "left").select("id", "text", "hits").mapInArrow(_judge(window, finish), _OPEN), "judged")
     unsettled = judged.where("kept is null")
     wins = unsettled.select("id", F.explode(F.arrays_zip("mark", "win")).alias("w")).select("id", "w.mark", "w.win").distinct()
     seen = wins.groupBy("mark", "win").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("high > low").drop("high")
     again = wins.join(seen, ["mark", "win"]).where("id > low").groupBy("id").agg(F.collect_list(F.struct("mark", "win")).alias("hits"))
     settled = unsettled.drop("n_removed", "kept").join(again, "id", "left").select("id", "n_words", "text", "sure", "starts", "mark", "win", "hits")
     settled = settled.mapInArrow(_settle(window, finish), "id long, n_words long, n_removed long, kept string")
-    return judged.where("kept is not null").select("id", "n_words", "n_removed", "kept").unionByName(settled).withColumnRenamed("id", id_col)
+    return clean.unionByName(judged.where("kept is not null").select("id", "n_words", "n_removed", "kept")).unionByName(settled).withColumnRenamed("id", id_col)
 
 
 def repeats_sql(window: int = WINDOW) -> str:
