@@ -152,8 +152,8 @@ def test_mixing_meets_targets(spark, monkeypatch):
     rnd = random.Random(5)
     rows = [(i, " ".join("w" for _ in range(rnd.randint(0, 30))), rnd.choice(["a", "b", "b", "b", "b", "c", None, "é"])) for i in range(800)]
     rows += [(801, None, "a"), (802, "", "empty"), (None, "w w", "b"), (5, rows[5][1], rows[5][2])]
-    first = sorted(mixing.mix(frame(spark, rows), cells=64).collect(), key=str)
-    assert first == sorted(mixing.mix(frame(spark, rows).repartition(7), cells=16).collect(), key=str)
+    first = sorted(mixing.mix(frame(spark, rows), last=20).collect(), key=str)
+    assert first == sorted(mixing.mix(frame(spark, rows).repartition(7), last=1).collect(), key=str)
     monkeypatch.setattr(mixing, "FEW_SOURCES", 0)
     assert first == sorted(mixing.mix(frame(spark, rows)).collect(), key=str)
     monkeypatch.undo()
@@ -178,6 +178,24 @@ def test_mixing_meets_targets(spark, monkeypatch):
     assert out.columns == frame(spark, []).columns and out.count() == sum(r.copies for r in first if r.doc_id != 5) + sum(r.copies for r in first if r.doc_id == 5)
 
 
+def test_mixing_sorts_few_rows_whatever_the_weights(spark, monkeypatch):
+    seen = []
+    whole = mixing.narrow
+
+    def narrow(rows, plan, last, *more):
+        plan, shift = whole(rows, plan, last, *more)
+        seen.append(mixing._most(rows, plan, shift))
+        return plan, shift
+
+    monkeypatch.setattr(mixing, "narrow", narrow)
+    rows = [(i, "w " * (1 + i % 9), "hot" if i % 3 else f"s{i % 7}") for i in range(6000)] + [(None, "w w", "hot")] * 300
+    docs = frame(spark, rows)
+    low = F.when(F.col("source") == "hot", 0.001).otherwise(1.0)
+    a, b = (sorted(mixing.mix(docs, low, last=n).collect(), key=str) for n in (50, 10**9))
+    assert a == b and len(a) == 6300
+    assert seen[0] <= 50 < seen[1]
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secret_scan.fit(secret_scan.labelled_findings(spark).where("id % 4 <> 0"))

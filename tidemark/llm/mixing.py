@@ -2,9 +2,11 @@
 
 Each source gets whole epochs first: every document once for each time the source fits in its target. What is left of
 the target is a fraction of one epoch, filled in the order of exponential keys -ln(u)/quality, where u is a hash of the
-id: the prefix of that order whose sizes come nearest the budget. Keys are cut into ``CELLS`` cells by a monotone map;
-sizes are summed per source and cell, the cell in which a source's budget ends is found from those sums, and only the
-documents of that one cell are sorted. A source with a third of all rows is thus never gathered in one task.
+id: the prefix of that order whose sizes come nearest the budget. Keys are cut into cells by the leading bits of a whole
+number of the same order, 2^``DIGIT`` cells a level; sizes are summed per source and cell, the cell in which a source's
+budget ends is found from those sums and cut again by the bits that follow, until no source has more than ``LAST`` rows
+in it, whatever the weights. Only those rows are sorted, rows equal in key, id and size as one. A source with a third of
+all rows is thus never gathered in one task.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_or_empty
 
-CELLS = 1 << 14
+#: Bits of a key's place and of one level of cells; rows that a source's last cell may hold.
+PLACE, DIGIT, LAST = 52, 8, 20_000
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
 SEED = "mix-1"
@@ -55,7 +58,13 @@ def key_of(id_text: Column, quality: Column, seed: str = SEED) -> Column:
     return -F.ln(u) / quality
 
 
-def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST, seed: str = SEED, cells: int = CELLS) -> DataFrame:
+def place_of(key: Column) -> Column:
+    """A whole number under 2^``PLACE`` in the order of keys: the logarithm in steps of 2^-45, from -48 on."""
+    at = F.floor((F.ln(key) + 48) * float(1 << 45))
+    return F.greatest(F.lit(0).cast("long"), F.least(at, F.lit((1 << PLACE) - 1)))
+
+
+def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, most: int = MOST, seed: str = SEED, last: int = LAST) -> DataFrame:
     """One row per row of ``docs``: id, size (words), source_size, target, copies and taken (size * copies).
 
     ``quality`` is a column expression over ``docs``, a positive weight; null or absent is 1. Null text has size 0,
@@ -64,24 +73,50 @@ def mix(docs: DataFrame, quality: Column | None = None, id_col: str = "doc_id",
     """
     q = F.lit(1.0) if quality is None else F.coalesce(quality, F.lit(1.0))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"), key_of(F.col(id_col).cast("string"), q, seed).alias("key"))
-    rows = rows.withColumn("cell", F.least(F.floor((1 - F.exp(-F.col("key"))) * cells), F.lit(cells - 1)).cast("int"))
-    rows = cut(rows)  # a few dozen bytes a document, so that texts are read once
-    cell_sums = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
-    plan = targets(cell_sums.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, most).withColumnRenamed("source", "s")
+    rows = cut(rows.withColumn("place", place_of(F.col("key"))))  # a few dozen bytes a document, so that texts are read once
+    plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most).withColumnRenamed("source", "s")
     plan = plan.withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("int")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    up_to = Window.partitionBy("source").orderBy("cell")  # at most ``cells`` rows a source, however many documents
-    ends = cell_sums.withColumn("upto", F.sum("cell_size").over(up_to)).join(plan.select("s", "rest"), F.expr("source <=> s")).where("upto > rest")
-    ends = ends.groupBy(F.col("source").alias("ended")).agg(F.min(F.struct("cell", (F.col("upto") - F.col("cell_size")).alias("before"))).alias("end"))
-    plan = plan.join(ends, F.expr("s <=> ended"), "left").select("s", "source_size", "target", "epochs", "rest", F.col("end.cell").alias("end"), F.col("end.before").alias("before"))
-    known = _with_plan(rows, cut(plan))
-    done = known.where("end is null or cell <> end").withColumn("extra", F.coalesce(F.col("cell") < F.col("end"), F.lit(True)))
-    last = known.where("cell = end").withColumn("run", F.sum("size").over(Window.partitionBy("source").orderBy("key", "id", "size")))
-    last = last.withColumn("extra", F.col("before") + F.col("run") - F.col("size") / 2 <= F.col("rest")).drop("run")
-    both = done.unionByName(last)
+    # ``cell`` holds the place, less its last ``shift`` bits, where the budget ends; ``before`` the sizes ahead of it
+    plan = cut(plan.withColumns({"cell": F.when(F.col("source_size") > 0, F.lit(0).cast("long")), "before": F.lit(0).cast("long")}))
+    plan, shift = narrow(rows, plan, last)
+    known = _with_plan(rows, plan).withColumn("at", F.shiftright("place", shift))
+    done = known.where("cell is null or at <> cell").withColumn("extra", F.coalesce(F.col("at") < F.col("cell"), F.lit(True)))
+    end = known.where("at = cell")
+    by = Window.partitionBy("source").orderBy("key", "id", "size")
+    alike = end.groupBy("source", "key", "id", "size").agg(F.count(F.lit(1)).alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    alike = alike.withColumn("upto", F.col("before") + F.sum(F.col("size") * F.col("n")).over(by)).select("source", "key", "id", "size", (F.col("upto") - F.col("size") / 2 <= F.col("rest")).alias("extra"))
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"a.{c}")) for c in ("source", "key", "id", "size")]
+    end = end.alias("e").join(alike.alias("a"), same).select("e.*", "a.extra")
+    both = done.unionByName(end)
     copies = F.col("epochs") + F.when(F.col("extra"), 1).otherwise(0)
     return both.select(F.col("id").alias(id_col), "size", "source_size", F.round("target", 6).alias("target"), F.least(copies, F.lit(most)).alias("copies")).withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def narrow(rows: DataFrame, plan: DataFrame, last: int, shift: int = PLACE) -> tuple[DataFrame, int]:
+    """(plan, shift) with cells of at most ``last`` rows a source, or of rows whose places are equal."""
+    while shift > 0 and _most(rows, plan, shift) > last:
+        plan, shift = cut(_narrowed(rows, plan, shift)), max(0, shift - DIGIT)
+    return plan, shift
+
+
+def _inside(rows: DataFrame, plan: DataFrame, shift: int) -> DataFrame:
+    """Rows in the cell where their source's budget ends."""
+    return _with_plan(rows, plan.select("s", "cell", "before", "rest")).where(F.shiftright("place", shift) == F.col("cell"))
+
+
+def _most(rows: DataFrame, plan: DataFrame, shift: int) -> int:
+    """The most rows that a source has in its cell."""
+    return _inside(rows, plan, shift).groupBy("source").count().agg(F.max("count")).first()[0] or 0
+
+
+def _narrowed(rows: DataFrame, plan: DataFrame, shift: int) -> DataFrame:
+    """``plan`` with cells cut by the next ``DIGIT`` bits: a window over 2^``DIGIT`` sums a source."""
+    sums = _inside(rows, plan, shift).groupBy("source", F.shiftright("place", max(0, shift - DIGIT)).alias("next")).agg(F.sum("size").alias("held"), F.first("before").alias("before"), F.first("rest").alias("rest"))
+    sums = sums.withColumn("upto", F.col("before") + F.sum("held").over(Window.partitionBy("source").orderBy("next"))).where("upto > rest")
+    ends = sums.groupBy(F.col("source").alias("ended")).agg(F.min(F.struct("next", (F.col("upto") - F.col("held")).alias("before"))).alias("end"))
+    return plan.drop("before").join(ends, F.expr("s <=> ended"), "left").select("s", "source_size", "target", "epochs", "rest", F.col("end.next").alias("cell"), F.col("end.before").alias("before"))
+
+
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Each row with its source's plan: broadcast up to ``FEW_SOURCES`` sources, counted first; beyond, joined by source and salt."""
     same = F.expr("source <=> s")
