@@ -49,9 +49,11 @@ def test_golay_is_perfect():
     assert [near[3, c].shape[1] for c in range(2)] == [1, 5]
 
 
-@pytest.mark.parametrize("one_block", [1 << 24, 0])
-def test_simhash_matches_all_pairs(spark, monkeypatch, one_block):
+@pytest.mark.parametrize(("one_block", "most"), [(1 << 24, 1 << 19), (0, 1 << 19), (1 << 24, 2)])
+def test_simhash_matches_all_pairs(spark, monkeypatch, one_block, most):
     monkeypatch.setattr(simhash, "ONE_BLOCK", one_block)
+    monkeypatch.setattr(simhash, "HOMES", min(most, simhash.HOMES))
+    monkeypatch.setattr(simhash, "NEAR", most)
     rows = corpus()
     fps = [bits(t) for _, t in rows]
     root = list(range(len(rows)))
