@@ -63,6 +63,13 @@ def crc_bucket(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in pieces, so that Python holds few texts of a batch at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def byte_texts(column) -> list[bytes]:
     """An Arrow string column as bytes, null as empty."""
     import pyarrow as pa

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, input_bytes, written
+from .common import byte_texts, input_bytes, slices, written
 
 WINDOW = 50
 MEMO = 500_000
@@ -132,7 +132,7 @@ def _halves(window: int, bits: int):
 
     def scan(batches):
         parts, size = [], 0
-        for b in batches:
+        for b in slices(batches):
             for i, t in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
                 words = t.split()
                 if i is None or len(words) < window:
@@ -164,7 +164,7 @@ def _aligned(window: int, bits: int):
     half = window // 2
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches, 5_000):
             hashes, ids, blocks, size = [], [], [], 0
             for i, t in zip(b.column(0).to_pylist(), byte_texts(b.column(1)), strict=True):
                 words = t.split()
@@ -198,7 +198,7 @@ def id_bitmap(ids: DataFrame, count: int) -> tuple[int, np.ndarray]:
     bits = min(ID_BITS, max(16, (16 * count).bit_length()))
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches, 2_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bit(b.column(0).to_numpy(zero_copy_only=False), bits)))], ["bit"])
 
     def chunk(key, tab):
@@ -220,22 +220,20 @@ def _finish_clean(shared, bits: int, finish):
 
     def scan(batches):
         marks = shared.value
-        for b in batches:
-            for begin in range(0, b.num_rows, 500):
-                part = b.slice(begin, 500)
-                ids = part.column(0).to_pylist()
-                bit = _bit(np.array([i or 0 for i in ids], np.int64), bits)
-                on = (marks[bit >> 3] >> (7 - (bit & 7)) & 1).tolist()
-                out = []
-                for i, t, o in zip(ids, byte_texts(part.column(1)), on, strict=True):
-                    if o and i is not None:
-                        out.append((i, None, None, None, t))
-                    else:
-                        words = t.split()
-                        out.append((i, len(words), 0, finish(b" ".join(words)), None))
-                arrays = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
-                arrays[4] = arrays[4].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, names)
+        for part in slices(batches):
+            ids = part.column(0).to_pylist()
+            bit = _bit(np.array([i or 0 for i in ids], np.int64), bits)
+            on = (marks[bit >> 3] >> (7 - (bit & 7)) & 1).tolist()
+            out = []
+            for i, t, o in zip(ids, byte_texts(part.column(1)), on, strict=True):
+                if o and i is not None:
+                    out.append((i, None, None, None, t))
+                else:
+                    words = t.split()
+                    out.append((i, len(words), 0, finish(b" ".join(words)), None))
+            arrays = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+            arrays[4] = arrays[4].cast(pa.string())
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return scan
 
@@ -254,7 +252,7 @@ def _scan_runs(window: int):
     """(mark, run, id) of every distinct run of each document that holds a surviving window."""
 
     def scan(batches):
-        for b in batches:
+        for b in slices(batches, 2_000):
             parts, size = [], 0
             for i, t, blocks in zip(b.column("id").to_pylist(), byte_texts(b.column("text")), b.column("blocks").to_pylist(), strict=True):
                 words = t.split()
