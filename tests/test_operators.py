@@ -1,6 +1,7 @@
 """Cases that the tables don't hold: bad prices, nulls, ties, malformed files, repeated runs."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,13 +65,52 @@ def test_events_roll_forward_and_drop_past_the_end(spark):
     assert [(r.event_day.day, r.trading_day.day) for r in A.roll_forward(ev, cal).orderBy("event_day").collect()] == [(1, 1), (2, 4), (4, 4)]
 
 
-def test_sigma_is_centred_at_zero_and_unknown_exclusions_fail(spark):
-    df = spark.createDataFrame([("k", v) for v in (9.0, 10.0, 11.0, None)], "series_id string, move double")
-    assert sorted(str(r.treated) for r in A.treatment(df, "move", "sigma_high", 2.0).collect()) == ["1", "1", "1", "None"]
+def test_thresholds_are_strict_fitted_inside_and_centred_at_zero(spark):
+    df = spark.createDataFrame([("k", v, k) for k, v in enumerate((9.0, 10.0, 11.0, None))], "series_id string, move double, n int")
+    assert [r.treated for r in A.treatment(df, "move", "sigma_high", 2.0).orderBy("n").collect()] == [1, 1, 1, 0]
+    assert [r.treated for r in A.treatment(df, "move", "tercile_high", 0, in_window=F.col("n") < 2).orderBy("n").collect()] == [0, 1, 1, 0]
+    even = spark.createDataFrame([("k", 5.0)] * 4, "series_id string, move double")
+    assert A.treatment(even, "move", "tercile_high", 0).where("treated = 1").count() == 0
+    assert A.treatment(even, "move", "tercile_low", 0).where("treated = 1").count() == 0
+    with pytest.raises(Exception, match="no value in the window"):
+        A.treatment(df, "move", "pct_high", 90, in_window=F.lit(False)).collect()
     with pytest.raises(ValueError):
         A.confounders(spark.createDataFrame([], "ts date, ticker string, close double"), exclude=("dxy",))
 
 
+def test_releases_wait_for_holidays(spark):
+    closed = spark.createDataFrame([(x,) for x in X.federal_holidays(2023, 2024)], "day date")
+    weeks = {"2024-02-06": "2024-02-09", "2023-11-21": "2023-11-27", "2024-07-02": "2024-07-08", "2023-11-07": "2023-11-13", "2024-12-24": "2024-12-30"}
+    got = A.release_days(spark.createDataFrame([(dt.date.fromisoformat(x),) for x in weeks], "week date"), "week", closed)
+    assert {str(r.week): str(r.release_day) for r in got.collect()} == weeks
+
+
+def test_spread_floor_by_hand(spark):
+    p = spark.createDataFrame([(d, "G", v) for d, v in zip(days(4), [100.0, 90.0, 99.0, 110.0], strict=True)], "ts date, ticker string, close double")
+    rules = spark.createDataFrame([("G", 0.02, 10.0, "float=assumed", True)], "ticker string, haircut double, days double, float_flag string, implied boolean")
+    rates = spark.createDataFrame([(days(4)[3], 0.05)], "ts date, rate double")
+    vols = spark.createDataFrame([(days(4)[3], 0.01)], "ts date, vol double")
+    a, b = R.spread_floor(p, rates, vols, rules, n=2, k=2.0).orderBy("ts").collect()
+    down = (math.log(0.9) ** 2 / 2) ** 0.5
+    assert a.tail_vol == pytest.approx(down) and a.carry == 0 and a.exit_floor == pytest.approx(99 * 0.98)
+    assert a.max_buy == pytest.approx(99 * 0.98 - 2 * down * 10**0.5 * 99) and a.flags.startswith("vol=realized_downside|tail=normal_approx|float=assumed")
+    assert (b.tail_vol, b.carry) == (pytest.approx(0.01), pytest.approx(110 * 0.05 * 14 / 365)) and b.flags.startswith("vol=implied")
+
+
+def test_lift_is_of_mean_errors_and_wins_round_up(spark):
+    rows = [("new", 0, 0.5), ("old", 0, 1.0), ("new", 1, 100.1), ("old", 1, 100.0)]
+    m = spark.createDataFrame([(r, "T", k, v) for r, k, v in rows], "run_id string, ticker string, split_id int, rmse double")
+    got = M.lift_decision(m, "new", "old").first()
+    assert got.relative == pytest.approx(100.6 / 101 - 1) and (got.n_wins, got.n_needed, got.keep) == (1, 2, False)
+
+
+def test_changes_need_a_close_before(spark):
+    closes = spark.createDataFrame([(d, 1.0 + k) for k, d in enumerate(days(3))], "ts date, value double")
+    ev = spark.createDataFrame([(d, False) for d in (days(3)[0], days(3)[2], dt.date(2025, 1, 1))], "day date, is_unscheduled boolean")
+    assert [(r.day, r.change_bp) for r in A.event_changes(ev, closes).collect()] == [(days(3)[2], 100.0)]
+    assert [r.day for r in A.event_changes(ev, closes, inclusive=False).collect()] == [dt.date(2025, 1, 1)]
+
+
 def test_upserts(spark):
     schema = "k int, v double, is_realtime boolean"
     old = spark.createDataFrame([(1, 1.0, True), (2, 2.0, False), (3, None, None)], schema)
@@ -129,23 +169,46 @@ def test_systematic_picks(spark, n, k):
 def test_allocation_is_whole_and_within_sizes(spark):
     df = spark.createDataFrame([("g", "a", 5), ("g", "b", 5), ("g", "c", 1), ("h", "a", 2)], "g string, s string, n long")
     got = {(r.g, r.s): r.quota for r in S.allocate(df, "g", "s", "n", 6).collect()}
-    assert got == {("g", "a"): 3, ("g", "b"): 3, ("g", "c"): 0, ("h", "a"): 2} or sum(v for (g, _), v in got.items() if g == "g") == 6
+    assert got == {("g", "a"): 3, ("g", "b"): 3, ("g", "c"): 0, ("h", "a"): 2}
 
 
 def test_text_functions(spark):
     s = F.lit
-    assert one(spark, X.page_title(s("<TITLE> A &amp;\n B </TITLE>"))) == "A & B" and one(spark, X.page_title(s("<title> </title>"))) is None
-    assert one(spark, X.url_slug(s("https://x.com/2024/gold-price-rises.html?x=1"))) == "gold-price-rises" and one(spark, X.url_slug(s("no url"))) is None
-    assert one(spark, X.slug_words(s("goldPrice-a-12345678x-rises"))) == "gold price rises"
-    assert one(spark, X.tolerant_themes(s("A, B"))) == ["A", "B"] and one(spark, X.tolerant_themes(s('["A"]'))) == ["A"] and one(spark, X.tolerant_themes(s(None).cast("string"))) == []
-    assert one(spark, X.contract_month(s("JUN 26"))) == "2026-06" and one(spark, X.contract_month(s("TOTAL"))) is None
+    feed = lambda t: s(f"<X>a</X><PAGE_TITLE>{t}</PAGE_TITLE><PAGE_TITLE>no</PAGE_TITLE>")
+    assert one(spark, X.page_title(feed("Gold &#x27;rises&#39;\n &amp; falls&eacute;"))) == "Gold 'rises' & fallsé"
+    assert one(spark, X.page_title(feed(" "))) is None and one(spark, X.page_title(s("<title>x</title>"))) is None
+    assert one(spark, X.page_title(s("<TITLE> A &amp;\n B </TITLE>"), tag="title")) == "A & B" and len(one(spark, X.page_title(feed("x" * 900)))) == 512
+    assert [one(spark, X.source_language(s(x))) for x in ("srclc:fra;eng:Moses", "srclc:zh;x", "SRCLC:DE", "", "junk")] == ["fra", "zh", "de", "eng", None]
+    slugs = {
+        "https://x.com/2024/gold-price-rises.html?x=1": "gold-price-rises", "no url": "", "https://x.com/1-2-3-4-5-6/gold-price-rises": "gold-price-rises", "https://x.com/123456": "",
+        "https://x.com/news/265569381/the-real-slug": "the-real-slug", "https://x.com/a/giá-vàng-hôm.cms": "giá-vàng-hôm", "https://x.com": "",
+    }
+    assert {u: one(spark, X.url_slug(s(u))) for u in slugs} == slugs
+    assert one(spark, X.slug_words(s("goldPrice-a-12345678x-rises-2024.html"))) == "gold price rises" and one(spark, X.slug_words(s("giá-vàng-hôm-nay"))) == "giá vàng hôm nay"
+    assert one(spark, X.tolerant_themes(s("A, B"))) == ["A", "B"] and one(spark, X.tolerant_themes(s(' ["A"]'))) == ["A"] and one(spark, X.tolerant_themes(s(None).cast("string"))) == []
+    assert one(spark, X.tolerant_themes(s("[a, b"))) == ["[a", "b"]
+    months = {"JUN 26": "2026-06", "JLY 26": "2026-07", " feb 2026 ": "2026-02"}
+    assert {m: one(spark, X.contract_month(s(m))) for m in months} == months and one(spark, X.contract_month(s(None).cast("string"))) is None
+    for bad in ("TOTAL", "JUN 026", "JUN26"):
+        with pytest.raises(Exception, match="no contract month"):
+            one(spark, X.contract_month(s(bad)))
     assert one(spark, X.plain_number(s("1,234.5"))) == 1234.5 and one(spark, X.plain_number(s("-"))) is None
-    assert one(spark, X.mask_dates(s("Gold on 2024-01-05, Jan 5, 2024, Q1 2024 and 2023; $2024 stays"))) == "Gold on [DATE], [DATE], [DATE] and [DATE]; $2024 stays"
-    assert one(spark, X.title_key(s("Gold Prices RISE! - Daily News"))) == "gold prices rise"
+    masks = {
+        "Gold on 2024-01-05, Jan 5, 2024, 28/10/2019 and 2023; $2024 stays": "Gold on [DATE], [DATE], [DATE] and [YEAR]; $2024 stays", "2019/03/05": "[DATE]", "2020年3月5日 金 10月28日": "[DATE] 金 [DATE]",
+        "Gold Rate - March 30, 2020": "Gold Rate - [DATE]", "30th March 2020 at 1,950": "[DATE] at 1,950", "falls to 1950": "falls to [YEAR]", "2024 ounces": "[YEAR] ounces", "1950.5": "1950.5",
+    }
+    assert {t: one(spark, X.mask_dates(s(t))) for t in masks} == masks
+    keys = {"Gold Prices RISE! - Reuters": "gold prices rise", "Gold Prices RISE! - Daily News": "gold prices rise daily news", "caf&eacute; &#36;2,000!": "café 2000", "ｇｏｌｄ  ①": "gold 1", "Gold | Yahoo  Finance": "gold"}
+    assert {t: one(spark, X.title_key(s(t))) for t in keys} == keys
+    gate = lambda t, lang, theme=False: tuple(one(spark, c) for c in X.admitted(s(t), s(lang), "gold", "medal", s(theme), {"fra": ("(?:l'or|once)", "médaille")}))
+    assert gate("gold price", "fra") == (True, False) and gate("le prix de l'or", "fra") == (True, True) and gate("médaille d'once", "fra") == (False, False)
+    assert gate("gold medal", "eng") == (False, False) and gate("gold medal", "eng", True) == (True, False) and gate("l'or", "eng") == (False, False)
+    assert one(spark, X.clamped(s(" Up "), ["up", "down"], "none")) == "up" and one(spark, X.clamped(s("sideways"), ["up"], "none")) == "none"
     assert one(spark, X.llm_object(s('Sure:\n```json\n{"label": "x"}\n```'), "label string")["label"]) == "x"
     assert one(spark, X.json_flag(s('{"a": false}'), "$.a", True)) is False and one(spark, X.json_flag(s("{}"), "$.a", True)) is True
-    value, bad = X.suffixed_number(s("215K"), s("%"))
-    assert one(spark, value) is None and one(spark, bad) is True
+    numbers = {("215K", "%"): (None, True), ("0.2%", "%"): (0.2, False), ("185K", "count"): (185.0, False), ("1.2M", "count"): (1200.0, False), ("12", "count"): (None, True), ("", "%"): (None, False), ("-0.1%", "%"): (-0.1, False)}
+    for (text, unit), want in numbers.items():
+        assert tuple(one(spark, c) for c in X.suffixed_number(s(text), s(unit))) == want
     assert X.easter(2024) == dt.date(2024, 3, 31) and dt.date(2024, 6, 19) in X.exchange_holidays(2024, 2024) and len(X.exchange_holidays(2024, 2024)) == 10
 
 
@@ -208,16 +271,31 @@ def test_csv_readers(spark, tmp_path):
 
 def test_json_and_html_readers(spark):
     pay = lambda x: spark.createDataFrame([(x,)], "payload string")
-    s = P.settlements(pay('{"tradeDate": "02/25/2026", "settlements": [{"month": "MAR 26", "settle": "31.5A"}, {"month": "Total", "settle": "-"}]}'))
-    v = P.volumes(pay('{"tradeDate": "20260225", "empty": false, "monthData": [{"month": "MAR 26", "totalVolume": "1,200", "atClose": "-", "change": "-5"}]}'))
-    assert tuple(v.first()) == (dt.date(2026, 2, 25), "2026-03", 1200, None, -5)
-    assert P.attach_settlements(v, s, False, True).first().settle == 31.5 and P.attach_settlements(v, s, True, True).first().settle is None
+    settled = '{"tradeDate": "02/25/2026", "reportType": "%s", "empty": false, "settlements": [{"month": "MAR 26", "settle": "31.5A"}, {"month": "Total", "settle": "-"}]}'
+    final, early = (P.settlements(pay(settled % kind)) for kind in ("Final", "Preliminary"))
+    assert [tuple(r) for r in early.collect()] == [(dt.date(2026, 2, 25), "2026-03", 31.5, True)]
+    with pytest.raises(Exception, match="report type"):
+        P.settlements(pay(settled % "draft")).collect()
+    v = P.volumes(pay('{"tradeDate": "20260225", "empty": false, "totals": {"totalVolume": "1,300", "atClose": "7", "change": "1"}, "monthData": [{"month": "MAR 26", "totalVolume": "1,200", "atClose": "-", "change": "-5"}]}'))
+    assert sorted(map(tuple, v.collect())) == [(dt.date(2026, 2, 25), "2026-03", 1200, None, -5), (dt.date(2026, 2, 25), "AGG", 1300, 7, 1)]
+    month = v.where("month = '2026-03'")
+    prices = [[P.attach_settlements(month.withColumn("is_preliminary", F.lit(p)), s).first().settle for s in (final, early)] for p in (False, True)]
+    assert prices == [[31.5, None], [31.5, 31.5]]
     assert P.volumes(pay('{"tradeDate": "20260225", "empty": true, "monthData": []}')).count() == 0
+    assert [tuple(r) for r in P.trade_dates(pay('[["02/25/2026", "Final"], ["02/26/2026", "Preliminary"]]')).collect()] == [(dt.date(2026, 2, 25), False), (dt.date(2026, 2, 26), True)]
     c = P.consensus(pay('[{"title": "CPI m/m", "country": "USD", "date": "2024-01-11T08:30:00-05:00", "forecast": "0.2%", "previous": "0.1%"}, {"title": "CPI m/m", "country": "EUR", "date": "2024-01-11T08:30:00-05:00"}]'), {"CPI m/m": ("cpi", "%")}, "2024-01-10 00:00:00", "payload")
     assert [(str(r.release_utc), r.forecast, r.is_realtime, r.violation) for r in c.collect()] == [("2024-01-11 13:30:00", 0.2, True, False)]
-    html = ['<script type="application/ld+json">{"offers": {"price": "2,050.10"}}</script><b class="price">$2,050.10</b> Buyback at $1,990.00', '<span class="big price">$31.20</span>', '<script type="application/ld+json">{"offers": [{"price": 5}]}</script><i class="price">$6.00</i>', "none"]
-    got = P.product_pages(spark.createDataFrame([(i, h) for i, h in enumerate(html)], "i int, html string")).orderBy("i").collect()
-    assert [(r.price, r.buyback, r.source) for r in got] == [(2050.10, 1990.0, "json-ld"), (31.2, None, "element"), (None, None, "disagree"), (None, None, None)]
+    html = [
+        '<script type="application/ld+json">{"offers": {"price": "2,050.10"}}</script><b class="price">$2,050.10</b> Buyback at $1,990.00', '<span class="big price">$31.20</span>',
+        '<script type="application/ld+json">{"@graph": [{"@type": "WebPage"}, {"@type": ["Thing", "Product"], "offers": {"@type": "AggregateOffer", "lowPrice": 5}}]}</script>', "none",
+    ]
+    page = lambda *x: spark.createDataFrame(list(enumerate(x)), "i int, html string")
+    got = P.product_pages(page(*html)).orderBy("i").collect()
+    assert [(r.price, r.buyback, r.source) for r in got] == [(2050.10, 1990.0, "json-ld"), (31.2, None, "element"), (5.0, None, "json-ld"), (None, None, None)]
+    with pytest.raises(Exception, match="differ"):
+        P.product_pages(page('<script type="application/ld+json">{"offers": [{"price": 5}]}</script><i class="price">$6.00</i>')).collect()
+    with pytest.raises(Exception, match="without a price"):
+        P.product_pages(page('<script type="application/ld+json">{"@type": "Product"}</script>')).collect()
     cot = spark.createDataFrame([(DAY, "GOLD - COMEX", "5", None), (DAY, "WHEAT", "1", "1")], "report_date date, market string, a string, b string")
     assert [tuple(r) for r in P.report_positions(cot, {"GOLD": "gold"}, {"longs": ["a", "b", "absent"]}).collect()] == [(DAY, "gold", 5)]
 

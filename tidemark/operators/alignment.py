@@ -39,6 +39,23 @@ def roll_forward(events: DataFrame, calendar: DataFrame, day: str = "day") -> Da
     return both.withColumn("trading_day", F.min("trading_day").over(ahead)).where("event_day is not null and trading_day is not null").select("event_day", "trading_day")
 
 
+def release_days(reports: DataFrame, day: str, closed: DataFrame, after: int = 3) -> DataFrame:
+    """(day, release_day): ``after`` days on, a business day later for each closed day since, and never on a day off.
+
+    ``closed`` is (day) of holidays on weekdays. Late rather than early: nothing is known before it could be.
+    """
+    reports = reports.select(day).distinct()
+    span = 2 * after + 15  # days looked ahead: as many holidays as ``after`` holds, each with a weekend
+    ahead = reports.select(day, F.explode(F.sequence(F.lit(1), F.lit(span))).alias("k")).withColumn("x", F.date_add(day, F.col("k")))
+    ahead = ahead.join(closed.select(F.col("day").alias("x"), F.lit(True).alias("off")).distinct(), "x", "left")
+    open_ = (F.weekday("x") < 5) & F.col("off").isNull()
+    late = F.count_if((F.col("k") <= after) & F.col("off").isNotNull())
+    days = ahead.groupBy(day).agg(late.alias("late"), F.array_sort(F.collect_list(F.when(open_ & (F.col("k") >= after), F.col("x")))).alias("open"), F.max(F.when(open_ & (F.col("k") == after), True)).alias("on_day"))
+    # a nominal day off is no step of its own: the first open day behind it is the first step
+    step = F.when((F.col("late") == 0) | F.col("on_day").isNotNull(), F.col("late")).otherwise(F.col("late") - 1)
+    return days.select(day, F.get("open", step.cast("int")).alias("release_day"))
+
+
 def nearest_event(days: DataFrame, events: DataFrame, within: int = 3) -> DataFrame:
     """The nearest event day of each day within ``within`` days, by signed offset; of two as near, the earlier."""
     shifted = days.select("day", F.explode(F.sequence(F.lit(-within), F.lit(within))).alias("offset")).withColumn("event_day", F.date_add("day", F.col("offset")))
@@ -52,17 +69,22 @@ def transform(x: Column, kind: str, k: int, keys) -> Column:
     return {"level": x, "diff": x - before, "pct_change": F.try_divide(x, F.nullif(before, F.lit(0.0))) - 1}[kind]
 
 
-def treatment(df: DataFrame, value: str, rule: str, level: float, key: str = "series_id") -> DataFrame:
-    """0/1 column ``treated``, with its threshold fitted on all rows of each key.
+def treatment(df: DataFrame, value: str, rule: str, level: float, key: str = "series_id", in_window: Column | None = None) -> DataFrame:
+    """0/1 column ``treated``: 1 strictly beyond a threshold fitted, by key, on rows where ``in_window`` holds; a null is 0.
 
-    ``tercile_high`` and ``tercile_low`` cut at a third, ``pct_high`` and ``pct_low`` at ``level`` per cent, ``sigma_high``
-    and ``sigma_low`` at ``level`` standard deviations around zero, not around the mean.
+    ``tercile_high`` and ``tercile_low`` cut at a third, ``pct_high`` at ``level`` per cent, ``sigma_high`` and
+    ``sigma_low`` at ``level`` standard deviations around zero, not around the mean. A key without a value inside the
+    window has no threshold and is an error.
     """
-    q = {"tercile_high": 2 / 3, "tercile_low": 1 / 3, "pct_high": level / 100, "pct_low": level / 100}.get(rule)
-    cut = F.stddev_samp(value) * (level if rule == "sigma_high" else -level) if q is None else F.percentile(value, q)
-    cuts = df.groupBy(key).agg(cut.alias("threshold"))
-    high = F.col(value) >= F.col("threshold") if rule.endswith("high") else F.col(value) <= F.col("threshold")
-    return df.join(cuts, key).withColumn("treated", F.when(F.col(value).isNotNull(), high.cast("int")))
+    quantiles = {"tercile_high": 2 / 3, "tercile_low": 1 / 3, "pct_high": level / 100}
+    if rule not in (*quantiles, "sigma_high", "sigma_low"):
+        raise ValueError(f"unknown rule {rule}")
+    inside = F.col(value) if in_window is None else F.when(in_window, F.col(value))
+    cut = F.percentile(inside, quantiles[rule]) if rule in quantiles else F.stddev_samp(inside) * (level if rule == "sigma_high" else -level)
+    cuts = df.groupBy(F.col(key).alias("__key")).agg(cut.alias("threshold"), F.count(inside).alias("__n"))
+    cuts = cuts.withColumn("threshold", F.when(F.col("__n") > 0, F.col("threshold")).otherwise(F.raise_error(F.lit("no value in the window")).cast("double"))).drop("__n")
+    beyond = F.col(value) > F.col("threshold") if rule.endswith("high") else F.col(value) < F.col("threshold")
+    return df.join(cuts, df[key].eqNullSafe(F.col("__key"))).drop("__key").withColumn("treated", F.coalesce(beyond, F.lit(False)).cast("int"))
 
 
 def confounders(prices: DataFrame, n: int = 20, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -82,13 +104,14 @@ def confounders(prices: DataFrame, n: int = 20, exclude: tuple[str, ...] = ()) -
 
 
 def event_changes(events: DataFrame, closes: DataFrame, inclusive: bool = True) -> DataFrame:
-    """Change of a close from the observation before, on event days that have one, in basis points of 1.
+    """Change of a close from the observation before, on event days that have both, in basis points of 1.
 
-    ``events`` is (day, is_unscheduled), ``closes`` is (ts, value); the earlier observation's day is kept.
+    ``events`` is (day, is_unscheduled), ``closes`` is (ts, value); the earlier observation's day is kept. With
+    ``inclusive`` false: the event days without a close.
     """
     by = Window.partitionBy(F.lit(0)).orderBy("ts")
     steps = closes.select("ts", "value", F.lag("value").over(by).alias("before"), F.lag("ts").over(by).alias("prior_day"))
-    found = events.join(steps, events["day"] == steps["ts"]) if inclusive else events.join(steps, events["day"] == steps["ts"], "left_anti")
+    found = events.join(steps.where("before is not null"), events["day"] == steps["ts"]) if inclusive else events.join(steps, events["day"] == steps["ts"], "left_anti")
     return found.select("day", "is_unscheduled", "prior_day", ((F.col("value") - F.col("before")) * 100).alias("change_bp")) if inclusive else found
 
 

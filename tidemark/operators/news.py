@@ -45,5 +45,8 @@ def vector_state(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return whole.select(key, "n", "norm", F.transform("mean", lambda m: m / F.col("norm")).alias("centroid"), F.when(F.col("n") >= 2, 1 - F.col("norm")).alias("dispersion"))
 
 
-def language_counts(news: DataFrame, admitted: Column) -> DataFrame:
-    return news.groupBy("src_lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(admitted).alias("n_admitted"), F.count_distinct("day", "source").alias("n_day_sources"))
+def language_counts(news: DataFrame, base: Column, bridge: Column) -> DataFrame:
+    """By language: rows, those the base gate admits, those the bridge alone adds, the same as distinct (day, lower title), and days."""
+    rows = news.select("src_lang", "day", F.xxhash64("day", F.lower("title")).alias("key"), F.coalesce(base, F.lit(False)).alias("cur"), F.coalesce(bridge, F.lit(False)).alias("new"))
+    distinct = lambda c: F.count_distinct(F.when(F.col(c), F.col("key")))
+    return rows.groupBy("src_lang").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("cur").alias("n_cur"), F.count_if("new").alias("n_new"), distinct("cur").alias("uniq_cur"), distinct("new").alias("uniq_new"), F.count_distinct("day").alias("n_days"))

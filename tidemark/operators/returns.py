@@ -94,19 +94,27 @@ def pairwise_correlation(prices: DataFrame, a: str, b: str, threshold: float) ->
     return both.agg(F.count(F.lit(1)).alias("n"), corr.alias("corr")).withColumn("low", F.col("corr") < threshold)
 
 
-def spread_floor(prices: DataFrame, rates: DataFrame, rules: DataFrame, n: int = 60) -> DataFrame:
-    """Lowest spread at which stock held for its usual days pays for risk and funding.
-
-    floor = exit - k * downside * sqrt(days) * price - price * rate * calendar days / 365. ``rates`` is (ts, rate),
-    carried forward onto price days; ``rules`` is (ticker, exit_spread, k, days, fallback). A missing rate or
-    downside leaves the floor null and is named in ``flags``.
+def spread_floor(prices: DataFrame, rates: DataFrame, implied: DataFrame, rules: DataFrame, n: int = 60, k: float = 1.645) -> DataFrame:
+    """Most to pay for stock held for its usual days, by ticker and day, and what it is made of.
+
+    max_buy = spot * (1 - haircut) - k * tail volatility * sqrt(days) * spot - spot * rate * days * 7/5 / 365. The tail
+    volatility is the implied one (``implied``: ts, vol, a day's) of tickers that ``rules`` marks, where the day has one,
+    else the downside deviation over ``n`` rows; days without either are dropped. ``rates`` is (ts, rate), carried
+    forward over the price days of all tickers, zero before the first. ``rules`` is (ticker, haircut, days, float_flag,
+    implied). One pass of windows by ticker; days' rates and volatilities join by day.
     """
-    down = downside_vol(prices, n).withColumnRenamed(f"dvol_{n}d", "downside")
-    base = prices.select("ts", "ticker", "close").join(down, ["ts", "ticker"]).join(rates, "ts", "left").withColumn("rate", w.carried(F.col("rate"), "ticker")).join(rules, "ticker")
-    calendar = F.col("days") * 7 / 5
-    value = F.col("exit_spread") - F.col("k") * F.col("downside") * F.sqrt("days") * F.col("close") - F.col("close") * F.col("rate") * calendar / 365
-    flags = F.concat_ws("|", F.when(F.col("fallback"), "fallback_days"), F.when(F.col("rate").isNull(), "no_rate"), F.when(F.col("downside").isNull(), "no_vol"))
-    return base.select("ts", "ticker", "close", "downside", "rate", value.alias("floor"), flags.alias("flags"))
+    days = prices.select("ts").distinct().join(rates.select("ts", "rate"), "ts", "left").join(implied.select("ts", "vol"), "ts", "left")
+    carried = F.last("rate", True).over(Window.partitionBy(F.lit(0)).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))
+    days = days.select("ts", F.coalesce(carried, F.lit(0.0)).alias("rate"), "vol")
+    r = F.col("lp") - F.lag("lp").over(w.over("ticker"))
+    rows = _logs(prices).withColumn("r", r).withColumn("square", F.when(F.col("r").isNotNull(), F.least("r", F.lit(0.0)) * F.least("r", F.lit(0.0))))
+    rows = rows.withColumn("downside", F.sqrt(w.full(F.col("square"), w.trailing("ticker", n), n, F.avg))).join(days, "ts").join(rules, "ticker")
+    own = F.col("implied") & F.col("vol").isNotNull()
+    rows = rows.withColumn("tail_vol", F.when(own, F.col("vol")).otherwise(F.col("downside")))
+    rows = rows.withColumns({"cushion": k * F.col("tail_vol") * F.sqrt("days") * F.col("close"), "carry": F.col("close") * F.col("rate") * (F.col("days") * 7 / 5) / 365, "exit_floor": F.col("close") * (1 - F.col("haircut"))})
+    rows = rows.withColumn("max_buy", F.col("exit_floor") - F.col("cushion") - F.col("carry")).where("max_buy is not null")
+    flags = F.concat_ws("|", F.when(own, "vol=implied").otherwise("vol=realized_downside"), F.lit("tail=normal_approx"), "float_flag", F.lit("carry=rf_only"), F.lit("exit=fixed_haircut"))
+    return rows.select("ts", "ticker", "close", "tail_vol", "cushion", "carry", "exit_floor", "max_buy", F.try_divide("max_buy", "close").alias("max_buy_frac"), flags.alias("flags"))
 
 
 def latest(df: DataFrame, key: str, order: str = "ts", *ties: str) -> DataFrame:

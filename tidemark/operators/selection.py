@@ -38,7 +38,7 @@ def session_cap(df: DataFrame, group: str, in_session: Column, order: list[str],
     side = Window.partitionBy(group, "__s")
     rows = rows.withColumn("__n", F.count(F.lit(1)).over(side)).withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy(group))).withColumn("__r", F.row_number().over(side.orderBy(*order)) - 1)
     mine, other = F.col("__n"), F.col("__all") - F.col("__n")
-    share = F.when(F.col("__s"), F.floor(F.lit(cap * reserve))).otherwise(cap - F.floor(F.lit(cap * reserve))).cast("long")
+    share = F.when(F.col("__s"), F.lit(round(cap * reserve))).otherwise(cap - F.lit(round(cap * reserve))).cast("long")
     quota = F.least(mine, F.greatest(share, F.lit(cap) - other))
     return _stride(rows.withColumn("__k", quota).where("__k > 0"), F.col("__k")).drop("__s", "__n", "__all", "__r", "__k")
 

@@ -149,7 +149,8 @@ def sign_stability(effects: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lift_decision(metrics: DataFrame, arm: str, baseline: str, bar: float = -0.01, wins: float = 0.6) -> DataFrame:
-    """An arm is kept only if its mean relative RMSE beats the bar *and* it wins in enough splits."""
-    both = metrics.groupBy("ticker", "split_id").agg(F.max(F.when(F.col("run_id") == arm, F.col("rmse"))).alias("a"), F.max(F.when(F.col("run_id") == baseline, F.col("rmse"))).alias("b")).where("a is not null and b > 0")
-    got = both.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_splits"), F.avg(F.col("a") / F.col("b") - 1).alias("relative"), F.avg((F.col("a") < F.col("b")).cast("int")).alias("win_share"))
-    return got.withColumn("keep", (F.col("relative") <= bar) & (F.col("win_share") >= wins))
+    """An arm is kept only if its mean RMSE lies ``bar`` below the baseline's *and* it wins in the share of splits, rounded up."""
+    of = lambda run: F.max(F.when(F.col("run_id") == run, F.col("rmse")))
+    both = metrics.groupBy("ticker", "split_id").agg(of(arm).alias("a"), of(baseline).alias("b")).where("a is not null and b is not null")
+    got = both.groupBy("ticker").agg(F.count(F.lit(1)).alias("n_splits"), (F.try_divide(F.avg("a"), F.avg("b")) - 1).alias("relative"), F.count_if(F.col("a") < F.col("b")).alias("n_wins"))
+    return got.withColumn("n_needed", F.ceil(F.col("n_splits") * wins - 1e-9)).withColumn("keep", (F.col("relative") <= bar) & (F.col("n_wins") >= F.col("n_needed")))

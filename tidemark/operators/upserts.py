@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What a column is after a conflict, from its stored and incoming values (and a stored row's pin).
@@ -44,8 +44,11 @@ def unique(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def append_only(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``incoming`` to append: those whose key isn't stored."""
-    return incoming.join(stored.select(*keys).distinct(), keys, "left_anti")
+    """Rows of ``incoming`` to append: those whose key isn't stored, one of each key (the least by its other columns)."""
+    fresh = incoming.join(stored.select(*keys).distinct(), keys, "left_anti")
+    rest = [c for c in incoming.columns if c not in keys]
+    by = Window.partitionBy(*keys).orderBy(*rest) if rest else Window.partitionBy(*keys).orderBy(*keys)
+    return fresh.withColumn("__nth", F.row_number().over(by)).where("__nth = 1").drop("__nth")
 
 
 def write_labels(stored: DataFrame, labels: DataFrame, key: str, column: str) -> DataFrame:
@@ -60,12 +63,15 @@ def stamp(df: DataFrame, column: str, reason: str, where: Column) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside ``path`` and swap by renames, so that a reader sees the old table or the new one."""
+    """Write beside ``path`` and swap by two renames. Between them, for a moment, there is no table, and a crash there leaves
+    the old one under ``.__old``: the next call puts it back first. Readers that can't wait should read ``.__old`` then."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     make = jvm.org.apache.hadoop.fs.Path
     fs = make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fresh, old = make(f"{path}.__new"), make(f"{path}.__old")
+    if fs.exists(old) and not fs.exists(make(path)):
+        fs.rename(old, make(path))
     df.write.mode("overwrite").parquet(fresh.toString())
     if fs.exists(make(path)):
         fs.delete(old, True)

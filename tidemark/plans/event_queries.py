@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as X
 from tidemark.functions import windows as w
 from tidemark.operators import alignment as A
 from tidemark.operators import returns as R
@@ -51,21 +52,29 @@ def macro_pctile(spark, d):
     return rounded(aligned(spark, d).select("ts", "series_id", w.percentile_rank(F.col("value"), "series_id", 60).alias("pctile")))
 
 
-EVENT_DAYS = "ev AS (SELECT day, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT) > 90, TRUE) AS is_unscheduled FROM (SELECT o_orderdate::date AS day, '{\"k\": ' || (o_orderkey % 100) || '}' AS props FROM orders WHERE o_orderkey % 37 = 0))"
+FLAGS = "fg AS (SELECT o_orderdate::date AS day, o_orderkey, o_totalprice, CASE o_orderstatus WHEN 'O' THEN '{\"is_scheduled\": true}' WHEN 'F' THEN '{\"is_scheduled\": false}' ELSE '{}' END AS props FROM orders)"
+EVENT_DAYS = FLAGS + ", ev AS (SELECT day, coalesce(json_extract_string(props, '$.is_scheduled') = 'false', FALSE) AS is_unscheduled FROM fg QUALIFY row_number() OVER (PARTITION BY year(day), month(day) ORDER BY o_totalprice DESC, o_orderkey) = 1)"
 CLOSES = "cl AS (SELECT ts, value, lag(value) OVER (ORDER BY ts) AS before, lag(ts) OVER (ORDER BY ts) AS prior_day FROM mx WHERE series_id = '1-URGENT')"
 
 
+def flags(spark, d):
+    """(day, key, total, is_unscheduled) of every order, from JSON whose flag may be missing, which means scheduled."""
+    o = T.read(spark, d, "orders")
+    props = F.when(F.col("o_orderstatus") == "O", '{"is_scheduled": true}').when(F.col("o_orderstatus") == "F", '{"is_scheduled": false}').otherwise("{}")
+    return o.select(F.to_date("o_orderdate").alias("day"), "o_orderkey", "o_totalprice", (~X.json_flag(props, "$.is_scheduled", True)).alias("is_unscheduled"))
+
+
 def announcements(spark, d):
-    """Event days with a JSON flag that is true where it is missing or no number."""
-    o = T.read(spark, d, "orders").where("o_orderkey % 37 = 0").select(F.to_date("o_orderdate").alias("day"), F.concat(F.lit('{"k": '), F.col("o_orderkey") % 100, F.lit("}")).alias("props"))
-    return o.select("day", F.coalesce(F.get_json_object("props", "$.k").try_cast("long") > 90, F.lit(True)).alias("is_unscheduled"))
+    """A day a month, that of its largest order, with its flag."""
+    by = Window.partitionBy(F.trunc("day", "month")).orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return flags(spark, d).withColumn("nth", F.row_number().over(by)).where("nth = 1").select("day", "is_unscheduled")
 
 
 def closes(spark, d):
     return T.macro(spark, d).where("series_id = '1-URGENT'").select("ts", "value")
 
 
-@query(ctes("mx", more=f"{EVENT_DAYS}, {CLOSES}") + "SELECT day, is_unscheduled, prior_day, round((value - before) * 100, 4) AS change_bp FROM ev JOIN cl ON ev.day = cl.ts")
+@query(ctes("mx", more=f"{EVENT_DAYS}, {CLOSES}") + "SELECT day, is_unscheduled, prior_day, round((value - before) * 100, 4) AS change_bp FROM ev JOIN cl ON ev.day = cl.ts WHERE before IS NOT NULL")
 def yield_surprise(spark, d):
     return rounded(A.event_changes(announcements(spark, d), closes(spark, d)), 4)
 
@@ -77,14 +86,16 @@ def yield_surprise_excluded(spark, d):
 
 @query(
     ctes("mx", more=f"{EVENT_DAYS}, {CLOSES}")
-    + """, a AS (SELECT day, avg((value - before) * 100) AS x FROM ev JOIN cl ON ev.day = cl.ts WHERE before IS NOT NULL GROUP BY day), b AS (SELECT ts, value - lag(value) OVER (ORDER BY ts) AS y FROM mx WHERE series_id = '2-HIGH')
-    SELECT count(*) AS n, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS corr, round(avg((sign(x) = sign(y))::int), 6) AS same_sign FROM a JOIN b ON a.day = b.ts WHERE y IS NOT NULL"""
+    + """, a AS (SELECT day, avg((value - before) * 100) AS x FROM ev JOIN cl ON ev.day = cl.ts WHERE before IS NOT NULL GROUP BY day), b AS (SELECT ts, series_id, value - lag(value) OVER (PARTITION BY series_id ORDER BY ts) AS y FROM mx WHERE series_id IN ('2-HIGH', '3-MEDIUM'))
+    SELECT series_id, count(*) AS n, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS corr, round(avg((sign(x) = sign(y))::int) FILTER (x <> 0 AND y <> 0), 6) AS same_sign FROM a JOIN b ON a.day = b.ts WHERE y IS NOT NULL GROUP BY series_id"""
 )
 def surprise_validation(spark, d):
-    a = A.event_changes(announcements(spark, d), closes(spark, d)).where("change_bp is not null").groupBy("day").agg(F.avg("change_bp").alias("x"))
-    b = T.macro(spark, d).where("series_id = '2-HIGH'").select(F.col("ts").alias("day"), (F.col("value") - F.lag("value").over(w.over("series_id"))).alias("y")).where("y is not null")
+    """Against two published series: correlation, and how often signs agree where neither change is zero."""
+    a = A.event_changes(announcements(spark, d), closes(spark, d)).groupBy("day").agg(F.avg("change_bp").alias("x"))
+    b = T.macro(spark, d).where(F.col("series_id").isin("2-HIGH", "3-MEDIUM")).select(F.col("ts").alias("day"), "series_id", (F.col("value") - F.lag("value").over(w.over("series_id"))).alias("y")).where("y is not null")
     corr = F.try_divide(F.covar_pop("x", "y"), F.nullif(F.stddev_pop("x") * F.stddev_pop("y"), F.lit(0.0)))
-    return rounded(a.join(b, "day").agg(F.count(F.lit(1)).alias("n"), corr.alias("corr"), F.avg((F.signum("x") == F.signum("y")).cast("int")).alias("same_sign")))
+    same = F.avg(F.when((F.col("x") != 0) & (F.col("y") != 0), (F.signum("x") == F.signum("y")).cast("int")))
+    return rounded(a.join(b, "day").groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), corr.alias("corr"), same.alias("same_sign")))
 
 
 @query(ctes("cal", more=EVENT_DAYS) + "SELECT day AS event_day, min(ts) AS trading_day FROM (SELECT DISTINCT day FROM ev) e JOIN cal ON cal.ts >= e.day GROUP BY day")
@@ -104,27 +115,30 @@ def _moves(spark, d):
 MOVES = GRID + ", mv AS (SELECT ts, series_id, round(value - lag(value) OVER (PARTITION BY series_id ORDER BY ts), 6) AS move FROM al)"
 
 
+INSIDE = "ts >= DATE '1994-01-01' AND ts < DATE '1998-01-01'"
+
+
 def _treat_sql(cut: str, sign: str) -> str:
-    return ctes("mx", "cal", more=MOVES) + f"SELECT ts, mv.series_id, move, round(threshold, 5) AS threshold, CASE WHEN move IS NOT NULL THEN (move {sign} threshold)::int END AS treated FROM mv JOIN (SELECT series_id, {cut} AS threshold FROM mv GROUP BY 1) c ON mv.series_id = c.series_id"
+    return ctes("mx", "cal", more=MOVES) + f"SELECT ts, mv.series_id, move, round(threshold, 5) AS threshold, coalesce(move {sign} threshold, FALSE)::int AS treated FROM mv JOIN (SELECT series_id, {cut} AS threshold FROM mv WHERE {INSIDE} GROUP BY 1) c ON mv.series_id = c.series_id"
 
 
 def _treat(spark, d, rule, level):
-    return A.treatment(_moves(spark, d), "move", rule, level).select("ts", "series_id", "move", F.round("threshold", 5).alias("threshold"), "treated")
+    return A.treatment(_moves(spark, d), "move", rule, level, in_window=F.expr(INSIDE.replace("DATE ", "date"))).select("ts", "series_id", "move", F.round("threshold", 5).alias("threshold"), "treated")
 
 
-@query(_treat_sql("quantile_cont(move, 2.0/3)", ">="))
+@query(_treat_sql("quantile_cont(move, 2.0/3)", ">"))
 def treatment_tercile(spark, d):
     return _treat(spark, d, "tercile_high", 0)
 
 
-@query(_treat_sql("quantile_cont(move, 0.1)", "<="))
+@query(_treat_sql("quantile_cont(move, 0.9)", ">"))
 def treatment_pct(spark, d):
-    return _treat(spark, d, "pct_low", 10)
+    return _treat(spark, d, "pct_high", 90)
 
 
-@query(_treat_sql("1.5 * stddev_samp(move)", ">="))
+@query(_treat_sql("-1.5 * stddev_samp(move)", "<"))
 def treatment_sigma(spark, d):
-    return _treat(spark, d, "sigma_high", 1.5)
+    return _treat(spark, d, "sigma_low", 1.5)
 
 
 @query(
@@ -208,13 +222,18 @@ def standardize_frozen(spark, d):
     return rounded(m.join(fit, "series_id").select("ts", "series_id", ((F.col("value") - F.col("m")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("z")))
 
 
+CLOSED = ", ".join(f"DATE '{x}'" for x in X.federal_holidays(1991, 2002))
+
+
 @query(
-    ctes("pos", more="z AS (SELECT week, metal, longs - shorts AS net, week + 3 AS release_day FROM pos)")
-    + """SELECT week, metal, net, CASE WHEN isodow(release_day) = 6 THEN release_day + 2 WHEN isodow(release_day) = 7 THEN release_day + 1 ELSE release_day END AS release_day,
-    CASE WHEN count(net) OVER w = 52 THEN round((net - avg(net) OVER w) / nullif(stddev_samp(net) OVER w, 0), 6) END AS z FROM z WINDOW w AS (PARTITION BY metal ORDER BY week ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)"""
+    ctes("pos", more=f"hol AS (SELECT unnest([{CLOSED}]) AS h), bd AS (SELECT x, row_number() OVER (ORDER BY x) AS nth FROM (SELECT unnest(generate_series(DATE '1991-01-01', DATE '2002-12-31', INTERVAL 1 DAY))::date AS x) WHERE isodow(x) < 6 AND x NOT IN (SELECT h FROM hol))")
+    + """, rel AS (SELECT week, (SELECT count(*) FROM hol WHERE h BETWEEN week + 1 AND week + 3) AS late, (SELECT max(nth) FROM bd WHERE x <= week + 3) AS back, (SELECT min(nth) FROM bd WHERE x >= week + 3) AS ahead FROM (SELECT DISTINCT week FROM pos))
+    SELECT p.week, metal, longs - shorts AS net, (SELECT x FROM bd WHERE nth = CASE WHEN late = 0 THEN ahead ELSE back + late END) AS release_day,
+    CASE WHEN count(longs - shorts) OVER w = 52 THEN round((longs - shorts - avg(longs - shorts) OVER w) / nullif(stddev_samp(longs - shorts) OVER w, 0), 6) END AS z FROM pos p JOIN rel ON p.week = rel.week WINDOW w AS (PARTITION BY metal ORDER BY p.week ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)"""
 )
 def cot_zscore(spark, d):
-    """Weekly net positions, z-scored over a year, stamped with their Friday release rolled off weekends."""
-    p = T.positioning(spark, d).withColumn("net", F.col("longs") - F.col("shorts")).withColumn("rel", F.date_add("week", 3))
-    day = F.when(F.weekday("rel") == 5, F.date_add("rel", 2)).when(F.weekday("rel") == 6, F.date_add("rel", 1)).otherwise(F.col("rel"))
-    return rounded(p.withColumn("ts", F.col("week")).select("week", "metal", "net", day.alias("release_day"), w.zscore(F.col("net"), "metal", 52).alias("z")))
+    """Weekly net positions, z-scored over a year, stamped with their release: Friday, a business day later for each federal holiday since Tuesday."""
+    p = T.positioning(spark, d).withColumn("net", F.col("longs") - F.col("shorts"))
+    closed = spark.createDataFrame([(x,) for x in X.federal_holidays(1991, 2002)], "day date")
+    stamped = A.release_days(p.select("week").distinct(), "week", closed)
+    return rounded(p.join(stamped, "week").withColumn("ts", F.col("week")).select("week", "metal", "net", "release_day", w.zscore(F.col("net"), "metal", 52).alias("z")))

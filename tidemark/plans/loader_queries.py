@@ -39,9 +39,9 @@ def load_day_titles(spark, d):
     return S.top_per_group(day, "day", ["day", "doc_id"], 1 << 30).select("doc_id", "title", "rank")
 
 
-@query("SELECT vec_id, label, len(embedding)::int AS dimension, round(embedding[1]::double, 6) AS first_value FROM embeddings WHERE label = 3")
+@query("SELECT vec_id, label, len(embedding)::int AS dimension, round(embedding[1]::double, 6) AS first_value, round(list_sum(list_transform(embedding, lambda x: x::double * x::double)), 5) AS squares FROM embeddings")
 def load_vectors(spark, d):
-    return rounded(T.read(spark, d, "embeddings").where("label = 3").select("vec_id", "label", F.size("embedding").alias("dimension"), F.get("embedding", F.lit(0)).cast("double").alias("first_value")))
+    return rounded(T.read(spark, d, "embeddings").select("vec_id", "label", F.size("embedding").alias("dimension"), F.get("embedding", F.lit(0)).cast("double").alias("first_value"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 5).alias("squares")))
 
 
 @query(ctes("asg") + "SELECT ts, ticker, coalesce(l.name, 'noise') AS regime FROM asg LEFT JOIN (VALUES (0, 'calm'), (1, 'rising'), (2, 'falling'), (3, 'stress')) l(id, name) ON cluster_id = l.id")

@@ -106,27 +106,36 @@ def _rates(spark, d):
     return T.macro(spark, d).where("series_id = '1-URGENT'").select("ts", (F.col("value") / 10_000_000).alias("rate"))
 
 
+def _implied(spark, d):
+    """A quoted yearly volatility in per cent, as a day's."""
+    return T.macro(spark, d).where("series_id = '2-HIGH'").select("ts", (F.col("value") / 10_000 / 100 / F.sqrt(F.lit(252.0))).alias("vol"))
+
+
 def _rules(spark, d):
-    """Holding days by ticker: the mean over lots with a fallback of 20 where fewer than ten were closed."""
+    """Holding days by ticker: the mean over lots, with 20 assumed where fewer than ten were closed; PROMO has quotes of volatility."""
     held = T.lots(spark, d).where("disposed >= purchased")
     days = held.groupBy((F.col("lot_id") % 6).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.datediff("disposed", "purchased")).alias("mean"))
     names = T.read(spark, d, "part").select(F.col("p_type").alias("ticker")).distinct().withColumn("k", F.length("ticker") % 6)
     enough = F.coalesce(F.col("n") >= 10, F.lit(False))
-    return names.join(days, "k", "left").select("ticker", F.lit(25.0).alias("exit_spread"), F.lit(1.65).alias("k"), F.when(enough, F.col("mean") * 5 / 7).otherwise(F.lit(20.0)).alias("days"), (~enough).alias("fallback"))
+    return names.join(days, "k", "left").select(
+        "ticker", (F.length("ticker") / 100).alias("haircut"), F.when(enough, F.col("mean") * 5 / 7).otherwise(F.lit(20.0)).alias("days"),
+        F.when(enough, "float=measured").otherwise("float=assumed").alias("float_flag"), (F.col("ticker") == "PROMO").alias("implied"),
+    )
 
 
-FLOOR = """rules AS (SELECT ticker, CASE WHEN n >= 10 THEN m * 5 / 7 ELSE 20.0 END AS days, coalesce(n, 0) < 10 AS fallback FROM (SELECT DISTINCT p_type AS ticker FROM part) t
+FLOOR = """rules AS (SELECT ticker, length(ticker) / 100.0 AS haircut, CASE WHEN n >= 10 THEN m * 5 / 7 ELSE 20.0 END AS days, CASE WHEN n >= 10 THEN 'float=measured' ELSE 'float=assumed' END AS float_flag FROM (SELECT DISTINCT p_type AS ticker FROM part) t
         LEFT JOIN (SELECT lot_id % 6 AS k, count(*) AS n, avg(disposed - purchased) AS m FROM lots WHERE disposed >= purchased GROUP BY 1) l ON length(ticker) % 6 = l.k),
     dv AS (SELECT *, CASE WHEN count(r) OVER w = 60 THEN sqrt(avg(CASE WHEN r < 0 THEN r * r WHEN r >= 0 THEN 0 END) OVER w) END AS downside FROM rt WINDOW w AS (PARTITION BY ticker ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
-    fl AS (SELECT dv.*, last_value(m.value / 10000000 IGNORE NULLS) OVER (PARTITION BY dv.ticker ORDER BY dv.ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rate, days, fallback
-        FROM dv LEFT JOIN (SELECT * FROM mx WHERE series_id = '1-URGENT') m ON dv.ts = m.ts JOIN rules ON dv.ticker = rules.ticker),
-    floors AS (SELECT ts, ticker, round(close, 6) AS close, round(downside, 6) AS downside, round(rate, 6) AS rate, round(25.0 - 1.65 * downside * sqrt(days) * close - close * rate * (days * 7 / 5) / 365, 6) AS floor,
-        concat_ws('|', CASE WHEN fallback THEN 'fallback_days' END, CASE WHEN rate IS NULL THEN 'no_rate' END, CASE WHEN downside IS NULL THEN 'no_vol' END) AS flags FROM fl)"""
+    dy AS (SELECT p.ts, (SELECT arg_max(m.value, m.ts) FROM mx m WHERE m.series_id = '1-URGENT' AND m.ts <= p.ts AND m.ts IN (SELECT ts FROM px)) / 10000000 AS rate, v.value / 1000000 / sqrt(252) AS vol FROM (SELECT DISTINCT ts FROM px) p LEFT JOIN mx v ON v.series_id = '2-HIGH' AND v.ts = p.ts),
+    fl AS (SELECT dv.ts, dv.ticker, close, coalesce(CASE WHEN dv.ticker = 'PROMO' THEN vol END, downside) AS tail, coalesce(rate, 0) AS rate, days, haircut, CASE WHEN dv.ticker = 'PROMO' AND vol IS NOT NULL THEN 'vol=implied' ELSE 'vol=realized_downside' END || '|tail=normal_approx|' || float_flag || '|carry=rf_only|exit=fixed_haircut' AS flags
+        FROM dv JOIN dy ON dv.ts = dy.ts JOIN rules ON dv.ticker = rules.ticker),
+    floors AS (SELECT ts, ticker, round(close, 6) AS close, round(tail, 6) AS tail_vol, round(1.645 * tail * sqrt(days) * close, 6) AS cushion, round(close * rate * (days * 7 / 5) / 365, 6) AS carry, round(close * (1 - haircut), 6) AS exit_floor,
+        round(close * (1 - haircut) - 1.645 * tail * sqrt(days) * close - close * rate * (days * 7 / 5) / 365, 6) AS max_buy, round((1 - haircut) - 1.645 * tail * sqrt(days) - rate * (days * 7 / 5) / 365, 6) AS max_buy_frac, flags FROM fl WHERE tail IS NOT NULL)"""
 
 
 @query(ask("SELECT * FROM floors", "mx", "lots", more=f"{LOGS}, {FLOOR}"))
 def spread_floor(spark, d):
-    return rounded(R.spread_floor(T.prices(spark, d), _rates(spark, d), _rules(spark, d)))
+    return rounded(R.spread_floor(T.prices(spark, d), _rates(spark, d), _implied(spark, d), _rules(spark, d)))
 
 
 @query(ask("SELECT * FROM floors QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) = 1", "mx", "lots", more=f"{LOGS}, {FLOOR}"))

@@ -31,7 +31,7 @@ def compare_runs(spark, d):
     return rounded(M.compare_runs(M.run_metrics(T.predictions(spark, d), ["run_id", "ticker"]), "walk", ["ticker"]))
 
 
-@query(ctes("prd", more=SPLITS) + "SELECT ticker, count(*) AS n_splits, round(avg(a / b - 1), 6) AS relative, round(avg((a < b)::int), 6) AS win_share, avg(a / b - 1) <= -0.01 AND avg((a < b)::int) >= 0.6 AS keep FROM (SELECT ticker, split_id, max(rmse) FILTER (run_id = 'flat') AS a, max(rmse) FILTER (run_id = 'walk') AS b FROM m GROUP BY 1, 2) WHERE b > 0 AND a IS NOT NULL GROUP BY ticker")
+@query(ctes("prd", more=SPLITS) + "SELECT *, relative <= -0.01 AND n_wins >= n_needed AS keep FROM (SELECT ticker, count(*) AS n_splits, round(avg(a) / avg(b) - 1, 6) AS relative, count(*) FILTER (a < b) AS n_wins, ceil(round(count(*) * 0.6, 6))::bigint AS n_needed FROM (SELECT ticker, split_id, max(rmse) FILTER (run_id = 'flat') AS a, max(rmse) FILTER (run_id = 'walk') AS b FROM m GROUP BY 1, 2) WHERE b IS NOT NULL AND a IS NOT NULL GROUP BY ticker)")
 def lift_decision(spark, d):
     return rounded(M.lift_decision(M.run_metrics(T.predictions(spark, d), ["run_id", "ticker", "split_id"]), "flat", "walk"))
 

@@ -10,7 +10,7 @@ from tidemark.operators import news as N
 from tidemark.sources import tables as T
 from tidemark.sources.tables import ctes
 
-from .event_queries import EVENT_DAYS
+from .event_queries import FLAGS, flags
 from .registry import query, rounded
 
 TOPICS = {"click": 0, "purchase": 1, "view": 2, "signup": 3, "error": 4, "en": 5, "fr": 6, "de": 7}
@@ -68,7 +68,7 @@ def embedding_dispersion(spark, d):
     return rounded(N.vector_state(T.read(spark, d, "embeddings"), "label", "embedding").drop("centroid"))
 
 
-GATE = {"fr": "(de la|les)", "de": "(und|der)"}
+GATE = {"fr": ("(de la|les)", "(pour|avec)"), "de": ("(und|der)", None)}
 
 
 def _gate():
@@ -76,18 +76,25 @@ def _gate():
     return X.admitted(F.col("title"), F.col("src_lang"), "(the|ing)", "(was|heer)", has, GATE)
 
 
-GATE_SQL = """CASE src_lang WHEN 'fr' THEN regexp_matches(title, '(?i)(de la|les)') WHEN 'de' THEN regexp_matches(title, '(?i)(und|der)')
-    ELSE (regexp_matches(title, '(?i)(the|ing)') OR h) AND NOT (regexp_matches(title, '(?i)(was|heer)') AND NOT h) END"""
+GATED = """gt AS (SELECT *, (regexp_matches(title, '(?i)(the|ing)') OR h) AND NOT (regexp_matches(title, '(?i)(was|heer)') AND NOT h) AS cur,
+    CASE src_lang WHEN 'fr' THEN regexp_matches(title, '(?i)(de la|les)') AND NOT regexp_matches(title, '(?i)(pour|avec)') WHEN 'de' THEN regexp_matches(title, '(?i)(und|der)') ELSE FALSE END AS multi
+    FROM (SELECT day, doc_id, src_lang, coalesce(title, '') AS title, themes LIKE '%"purchase"%' OR themes LIKE '%"signup"%' AS h FROM news))"""
 
 
-@query(ctes("news") + f"SELECT doc_id, {GATE_SQL} AS admitted FROM (SELECT *, themes LIKE '%\"purchase\"%' OR themes LIKE '%\"signup\"%' AS h FROM news)")
+@query(ctes("news", more=GATED) + "SELECT doc_id, cur OR multi AS admitted, multi AND NOT cur AS via_bridge FROM gt")
 def news_gate(spark, d):
-    return T.news(spark, d).select("doc_id", _gate().alias("admitted"))
+    kept, bridge = _gate()
+    return T.news(spark, d).select("doc_id", kept.alias("admitted"), bridge.alias("via_bridge"))
 
 
-@query(ctes("news") + f"SELECT src_lang, count(*) AS n, count(*) FILTER ({GATE_SQL}) AS n_admitted, count(DISTINCT (day, source)) AS n_day_sources FROM (SELECT *, themes LIKE '%\"purchase\"%' OR themes LIKE '%\"signup\"%' AS h FROM news) GROUP BY src_lang")
+@query(
+    ctes("news", more=GATED)
+    + """SELECT src_lang, count(*) AS n_rows, count(*) FILTER (cur) AS n_cur, count(*) FILTER (multi AND NOT cur) AS n_new, count(DISTINCT (day, lower(title))) FILTER (cur) AS uniq_cur,
+    count(DISTINCT (day, lower(title))) FILTER (multi AND NOT cur) AS uniq_new, count(DISTINCT day) AS n_days FROM gt GROUP BY src_lang"""
+)
 def lang_gate_counts(spark, d):
-    return N.language_counts(T.news(spark, d), _gate())
+    kept, bridge = _gate()
+    return N.language_counts(T.news(spark, d), kept & ~bridge, bridge)
 
 
 @query("SELECT lang, count(*) AS n, round(avg(quality), 6) AS precision, count(*) FILTER (quality = 0) AS n_wrong, CASE WHEN avg(quality) >= 0.85 THEN 'pass' ELSE 'fail' END AS verdict FROM labels JOIN documents USING (doc_id) GROUP BY lang")
@@ -97,38 +104,50 @@ def lang_precision(spark, d):
     return rounded(got.withColumn("verdict", F.when(F.col("precision") >= 0.85, "pass").otherwise("fail")))
 
 
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")]
+
+
 def _nested(x: str) -> str:
-    for a, b in X.ENTITIES:
-        x = f"replace({x}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    for a, b in ENTITIES:
+        x = f"replace({x}, '{a}', '{b}')"
     return x
 
 
-@query("SELECT page_id, nullif(substr(trim(regexp_replace(" + _nested("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)") + r", '[ \t\n\r\f]+', ' ', 'g')), 1, 512), '') AS title FROM pages")
+@query("SELECT page_id, nullif(substr(trim(regexp_replace(" + _nested("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)") + r", '\s+', ' ', 'g')), 1, 512), '') AS title FROM pages")
 def title_extract(spark, d):
-    return T.read(spark, d, "pages").select("page_id", X.page_title(F.col("html")).alias("title"))
+    return T.read(spark, d, "pages").select("page_id", X.page_title(F.col("html"), tag="title").alias("title"))
 
 
-PARTS = r"""pp AS (SELECT page_id, url, list_filter(string_split(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '', ''), '/'), lambda p: p <> '') AS parts FROM pages),
-    sg AS (SELECT page_id, parts[i] AS segment, i, len(list_filter(regexp_split_to_array(parts[i], '[-_+.]'), lambda t: t <> '')) AS nw FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM pp)),
-    sl AS (SELECT page_id, regexp_replace(segment, '(?i)\.(html?|php|aspx?|jsp|shtml|cms)$', '') AS slug FROM sg QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY nw DESC, length(segment) DESC, i) = 1)"""
-CLEAN = r"""lower(array_to_string(list_filter(string_split(regexp_replace(regexp_replace(slug, '([a-z])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'), ' '), lambda t: length(t) > 1 AND length(regexp_replace(t, '[^0-9]', '', 'g')) * 10 <= length(t) * 3), ' '))"""
+EXT = r"'(?i)\.(?:html?|s?html|ece|chn|cms|amp|aspx?|php|jsp|stm|asp)$'"
+PARTS = rf"""pp AS (SELECT page_id, list_transform(list_filter(string_split(regexp_extract(coalesce(url, ''), '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]+([^?#]*)', 1), '/'), lambda p: p <> ''), lambda p: regexp_replace(p, {EXT}, '')) AS parts FROM pages),
+    sg AS (SELECT page_id, parts[i] AS segment, i, list_filter(regexp_split_to_array(parts[i], '[-_\s]+'), lambda t: regexp_matches(t, '^\p{{L}}{{3,}}$')) AS ws FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM pp)),
+    sl AS (SELECT page_id, segment AS slug FROM sg WHERE len(ws) > 0 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY len(ws) DESC, length(array_to_string(ws, '')) DESC, i) = 1)"""
+CLEAN = rf"""lower(array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(slug, ''), {EXT}, ''), '([a-z])([A-Z])', '\1 \2', 'g'), '[-_\s]+'), lambda t: length(t) > 1 AND length(regexp_replace(t, '[^0-9]', '', 'g')) * 10 <= length(t) * 3), ' '))"""
 
 
-@query(f"WITH {PARTS} SELECT p.page_id, slug, {CLEAN} AS words, array_to_string(list_slice(string_split({CLEAN}, ' '), 1, 2), ' ') AS first_two FROM pages p LEFT JOIN sl ON p.page_id = sl.page_id")
+@query(f"WITH {PARTS} SELECT p.page_id, coalesce(slug, '') AS slug, {CLEAN} AS words, array_to_string(list_slice(string_split({CLEAN}, ' '), 1, 2), ' ') AS first_two FROM pages p LEFT JOIN sl ON p.page_id = sl.page_id")
 def slug_text(spark, d):
     rows = T.read(spark, d, "pages").select("page_id", X.url_slug(F.col("url")).alias("slug")).withColumn("words", X.slug_words(F.col("slug")))
     return rows.withColumn("first_two", X.truncate_words(F.col("words"), 2))
 
 
+STOPS = ["and", "for", "from", "the", "with"]
+
+
 @query(
-    f"""WITH {PARTS}, q AS (SELECT p.page_id, {CLEAN} AS words, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages p LEFT JOIN sl ON p.page_id = sl.page_id)
-    SELECT CASE WHEN coalesce(words, '') = '' THEN 'empty' WHEN len(string_split(words, ' ')) < 3 THEN 'short' ELSE 'good' END AS bucket, regexp_extract(host, '([a-z]+)$', 1) AS tld, count(*) AS n,
-    round(avg(regexp_matches(coalesce(words, ''), '[0-9]')::int), 6) AS digit_share FROM q GROUP BY 1, 2"""
+    rf"""WITH {PARTS}, q AS (SELECT p.page_id, {CLEAN} AS words, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, coalesce(regexp_extract(url, '([0-9]+)[^0-9]*$', 1), '') AS id FROM pages p LEFT JOIN sl ON p.page_id = sl.page_id)
+    SELECT CASE WHEN words = '' THEN 'empty' WHEN len(string_split(words, ' ')) < 3 THEN 'short' ELSE 'good' END AS bucket, regexp_extract(host, '([a-z]+)$', 1) AS tld, count(*) AS n,
+    round(avg(regexp_matches(words, '[0-9]')::int), 6) AS digit_share, round(avg((id <> '' AND list_contains(string_split(words, ' '), id))::int), 6) AS id_leak,
+    round(avg(len(list_filter(string_split(words, ' '), lambda x: x IN ({", ".join(f"'{x}'" for x in STOPS)}))) / greatest(len(string_split(words, ' ')), 1)), 6) AS stop_share FROM q GROUP BY 1, 2"""
 )
 def slug_quality(spark, d):
-    rows = T.read(spark, d, "pages").select(F.coalesce(X.slug_words(X.url_slug(F.col("url"))), F.lit("")).alias("words"), F.regexp_extract(F.try_parse_url("url", F.lit("HOST")), "([a-z]+)$", 1).alias("tld"))
-    bucket = F.when(F.col("words") == "", "empty").when(F.size(F.split("words", " ")) < 3, "short").otherwise("good")
-    return rounded(rows.groupBy(bucket.alias("bucket"), "tld").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("words").rlike("[0-9]").cast("int")).alias("digit_share")))
+    """Slugs by length and top-level domain: share with digits, with the page's number left in, and of stop words."""
+    page = T.read(spark, d, "pages").select(X.slug_words(X.url_slug(F.col("url"))).alias("words"), F.regexp_extract(F.try_parse_url("url", F.lit("HOST")), "([a-z]+)$", 1).alias("tld"), F.regexp_extract("url", r"([0-9]+)[^0-9]*$", 1).alias("id"))
+    rows = page.withColumn("list", F.split("words", " "))
+    bucket = F.when(F.col("words") == "", "empty").when(F.size("list") < 3, "short").otherwise("good")
+    leak = ((F.col("id") != "") & F.array_contains("list", F.col("id"))).cast("int")
+    stops = F.size(F.filter("list", lambda x: x.isin(STOPS))) / F.greatest(F.size("list"), F.lit(1))
+    return rounded(rows.groupBy(bucket.alias("bucket"), "tld").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("words").rlike("[0-9]").cast("int")).alias("digit_share"), F.avg(leak).alias("id_leak"), F.avg(stops).alias("stop_share")))
 
 
 RAW = "raw AS (SELECT event_id, event_type || ',' || (event_id % 90) || ';' || 'other,3;' || event_type || ',5;view' AS themes, value || ',' || (event_id % 7) || ',bad,' || (-value) AS tone, strftime(ts, '%Y%m%d%H%M%S') AS stamp, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'srclc:' || upper(substr(event_type, 1, 3)) || ';eng:x' ELSE 'junk' END AS info, ts, props FROM events)"
@@ -164,23 +183,23 @@ def record_keys(spark, d):
 
 @query(
     """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE round(o_totalprice, 2) END AS number,
-    CASE WHEN o_orderkey % 3 = 0 THEN round(o_orderkey % 100 / 10.0, 6) WHEN o_orderkey % 3 = 1 THEN (o_orderkey % 100) * 1000.0 END AS scaled, o_orderkey % 3 = 2 AS violation FROM orders WHERE o_orderdate >= '2000-01-01'"""
+    CASE o_orderkey % 5 WHEN 0 THEN round(o_orderkey % 100 / 10.0, 6) WHEN 1 THEN (o_orderkey % 100)::double WHEN 2 THEN (o_orderkey % 100) * 1000.0 END AS scaled, o_orderkey % 5 IN (3, 4) AS violation FROM orders"""
 )
 def number_parse(spark, d):
-    """Contract months, separated thousands and suffixed units of made-up labels."""
-    o, k = T.read(spark, d, "orders").where("o_orderdate >= timestamp_ntz'2000-01-01'"), F.col("o_orderkey")
-    label = F.upper(F.date_format("o_orderdate", "MMM yy"))
+    """Contract months, separated thousands and suffixed units of made-up labels: percent, thousands, millions, a bare count, a wrong unit."""
+    o, k = T.read(spark, d, "orders"), F.col("o_orderkey")
+    label = F.regexp_replace(F.upper(F.date_format("o_orderdate", "MMM yyyy")), "^JUL", F.when(k % 2 == 0, "JLY").otherwise("JUL"))
     text = F.when(k % 5 == 0, "-").otherwise(F.format_number("o_totalprice", 2))
-    short = F.when(k % 3 == 0, F.concat(F.format_string("%.1f", (k % 100) / 10.0), F.lit("%"))).when(k % 3 == 1, F.concat((k % 100).cast("string"), F.lit("K"))).otherwise("12%")
-    value, wrong = X.suffixed_number(short, F.when(k % 3 == 0, "%").otherwise("count"))
+    n = (k % 100).cast("string")
+    short = F.when(k % 5 == 0, F.concat(F.format_string("%.1f", (k % 100) / 10.0), F.lit("%"))).when(k % 5 == 1, F.concat(n, F.lit("K"))).when(k % 5 == 2, F.concat(n, F.lit("M"))).when(k % 5 == 3, n).otherwise("12%")
+    value, wrong = X.suffixed_number(short, F.when(k % 5 == 0, "%").otherwise("count"))
     return rounded(o.select("o_orderkey", X.contract_month(label).alias("month"), X.plain_number(text).alias("number"), value.alias("scaled"), wrong.alias("violation")))
 
 
-@query("WITH " + EVENT_DAYS + " SELECT day, count(*) AS n, count(*) FILTER (is_unscheduled) AS n_unscheduled FROM ev GROUP BY day")
+@query("WITH " + FLAGS + " SELECT day, count(*) AS n, count(*) FILTER (json_extract_string(props, '$.is_scheduled') = 'false') AS n_unscheduled FROM fg GROUP BY day")
 def json_bool_default(spark, d):
-    from .event_queries import announcements
-
-    return announcements(spark, d).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_unscheduled").alias("n_unscheduled"))
+    """A flag in JSON that counts as scheduled where it is missing."""
+    return flags(spark, d).groupBy("day").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_unscheduled").alias("n_unscheduled"))
 
 
 @query(ctes("news") + "SELECT doc_id, sha256(title) AS sha, substr(sha256(title), 1, 3) AS shard, round_even(length(title) / 3.6, 0)::bigint AS tokens, json_array_length(themes)::int AS n_themes FROM news")

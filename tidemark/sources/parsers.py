@@ -6,7 +6,7 @@ a null, as stated at each reader.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,25 +96,46 @@ def metal_prices(spark: SparkSession, path: str, quote: str, tolerance: float =
     return df.where("price_date is not null").select("price_date", F.inline(values)).where("price is not null").withColumn("quote", F.lit(quote))
 
 
-SETTLEMENTS = "tradeDate string, settlements array<struct<month:string,open:string,high:string,low:string,last:string,change:string,settle:string,volume:string,openInterest:string>>"
-VOLUMES = "tradeDate string, empty boolean, monthData array<struct<month:string,totalVolume:string,atClose:string,change:string>>"
+SETTLEMENTS = "tradeDate string, reportType string, empty boolean, settlements array<struct<month:string,settle:string>>"
+VOLUMES = "tradeDate string, empty boolean, totals struct<totalVolume:string,atClose:string,change:string>, monthData array<struct<month:string,totalVolume:string,atClose:string,change:string>>"
+#: Contract month of a report's totals (fixed value).
+ALL_MONTHS = "AGG"
+
+
+def preliminary(kind: Column) -> Column:
+    """Whether a report type says preliminary; one that says neither that nor final is an error."""
+    plain = F.lower(F.trim(kind))
+    return F.when(plain.startswith("prelim"), True).when(plain.startswith("final"), False).otherwise(F.raise_error(F.concat(F.lit("report type: "), F.coalesce(kind, F.lit("none")))).cast("boolean"))
+
+
+def trade_dates(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """(trade_date, is_preliminary) from lists of [MM/DD/YYYY, type]."""
+    pairs = payloads.select(F.explode(F.from_json(column, "array<array<string>>")).alias("p"))
+    return pairs.select(F.to_date(F.get("p", F.lit(0)), "MM/dd/yyyy").alias("trade_date"), preliminary(F.get("p", F.lit(1))).alias("is_preliminary"))
 
 
 def settlements(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    rows = payloads.select(F.from_json(column, SETTLEMENTS).alias("p")).select("p.tradeDate", F.explode("p.settlements").alias("s"))
-    return rows.select(F.to_date("tradeDate", "MM/dd/yyyy").alias("trade_date"), X.contract_month(F.col("s.month")).alias("month"), X.plain_number(F.regexp_replace("s.settle", "[AB]$", "")).alias("settle")).where("month is not null")
+    """(trade_date, month, settle, is_preliminary): the total's row is left out, a letter behind a price too."""
+    rows = payloads.select(F.from_json(column, SETTLEMENTS).alias("p")).where(~F.coalesce("p.empty", F.lit(False))).select("p.tradeDate", "p.reportType", F.explode("p.settlements").alias("s")).where("trim(s.month) <> 'Total'")
+    price = X.plain_number(F.regexp_replace("s.settle", "[AB]$", ""))
+    return rows.select(F.to_date("tradeDate", "MM/dd/yyyy").alias("trade_date"), X.contract_month(F.col("s.month")).alias("month"), price.alias("settle"), preliminary(F.col("reportType")).alias("is_preliminary"))
 
 
 def volumes(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    rows = payloads.select(F.from_json(column, VOLUMES).alias("p")).where(~F.coalesce("p.empty", F.lit(False))).select("p.tradeDate", F.explode("p.monthData").alias("m"))
+    """(trade_date, month, volume, open_interest, change): a row a contract month, and the totals as ``ALL_MONTHS``."""
+    rows = payloads.select(F.from_json(column, VOLUMES).alias("p")).where(~F.coalesce("p.empty", F.lit(False)))
+    total = F.when(F.col("p.totals").isNotNull(), F.array(F.struct(F.lit(None).cast("string").alias("month"), "p.totals.totalVolume", "p.totals.atClose", "p.totals.change")))
+    rows = rows.select("p.tradeDate", F.explode(F.concat("p.monthData", F.coalesce(total, F.slice("p.monthData", 1, 0)))).alias("m"))
     count = lambda c: X.plain_number(F.col(c)).cast("long")
-    return rows.select(F.try_to_timestamp("tradeDate", F.lit("yyyyMMdd")).cast("date").alias("trade_date"), X.contract_month(F.col("m.month")).alias("month"), count("m.totalVolume").alias("volume"), count("m.atClose").alias("open_interest"), count("m.change").alias("change"))
+    month = F.coalesce(X.contract_month(F.col("m.month")), F.lit(ALL_MONTHS))
+    return rows.select(F.try_to_timestamp("tradeDate", F.lit("yyyyMMdd")).cast("date").alias("trade_date"), month.alias("month"), count("m.totalVolume").alias("volume"), count("m.atClose").alias("open_interest"), count("m.change").alias("change"))
 
 
-def attach_settlements(vol: DataFrame, settle: DataFrame, prelim: bool, settle_final: bool) -> DataFrame:
-    """Volumes with settle prices by month; a preliminary volume takes none from a final report."""
-    both = vol.join(settle.select("trade_date", "month", "settle"), ["trade_date", "month"], "left")
-    return both.withColumn("settle", F.lit(None).cast("double")) if prelim and settle_final else both
+def attach_settlements(vol: DataFrame, settle: DataFrame) -> DataFrame:
+    """Volumes (with is_preliminary) and settle prices by day and month; a final volume takes no preliminary price."""
+    prices = settle.select("trade_date", "month", F.col("settle").alias("__settle"), F.col("is_preliminary").alias("__early"))
+    both = vol.join(prices, ["trade_date", "month"], "left")
+    return both.withColumn("settle", F.when(F.col("is_preliminary") | ~F.coalesce("__early", F.lit(False)), F.col("__settle"))).drop("__settle", "__early")
 
 
 CALENDAR = "array<struct<title:string,country:string,date:string,impact:string,forecast:string,previous:string>>"
@@ -130,16 +151,26 @@ def consensus(payloads: DataFrame, titles: dict[str, tuple[str, str]], pulled_at
     return rows.select("release_utc", "field", forecast.alias("forecast"), previous.alias("previous"), (F.lit(pulled_at).cast("timestamp_ntz") <= F.col("release_utc")).alias("is_realtime"), (bad | worse).alias("violation"))
 
 
+LINKED = r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'
+OFFER = r'(?s)"@type"\s*:\s*(?:"Product"|\[[^\]]*"Product"[^\]]*\])'
+
+
 def product_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(page columns, price, buyback, source): the offer in JSON-LD, else the price element; two prices that differ are null."""
-    blocks = F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), 1)
-    paths = ("$.offers.price", "$.offers[0].price", "$[0].offers.price", "$['@graph'][0].offers.price")
-    linked = F.filter(F.transform(blocks, lambda b: F.coalesce(*[X.plain_number(F.get_json_object(b, p)) for p in paths])), lambda v: v.isNotNull())
+    """(page columns, price, buyback, source): the offer in JSON-LD, else the price element.
+
+    Every ``price`` and ``lowPrice`` of a JSON-LD block that describes a product counts, wherever the block nests it.
+    Offers that differ from each other or from the element are an error, as is no price where a product is described.
+    """
+    blocks = F.filter(F.regexp_extract_all(html, F.lit(LINKED), 1), lambda b: b.rlike(OFFER) | b.rlike(r'(?s)"offers"\s*:'))
+    offered = lambda b: F.regexp_extract_all(b, F.lit(r'"(?:price|lowPrice)"\s*:\s*"?[$€£]?\s*([\d,]+(?:\.\d+)?)'), 1)
+    linked = F.array_distinct(F.transform(F.flatten(F.transform(blocks, offered)), lambda v: X.plain_number(v)))
     shown = X.plain_number(F.regexp_replace(F.regexp_extract(html, r'(?is)class="[^"]*\bprice\b[^"]*"[^>]*>\s*([$€£]?\s*[\d,]+\.\d{2})', 1), r"[$€£\s]", ""))
     buy = X.plain_number(F.regexp_extract(html, r"(?is)buy-?back[^$€£]{0,80}[$€£]\s*([\d,]+\.\d{2})", 1))
-    price = F.coalesce(F.get(linked, F.lit(0)), shown)
-    differ = F.coalesce(F.abs(F.get(linked, F.lit(0)) - shown) > 0.005, F.lit(False))
-    return pages.withColumns({"price": F.when(~differ, price), "buyback": buy, "source": F.when(differ, "disagree").when(F.size(linked) > 0, "json-ld").when(shown.isNotNull(), "element")})
+    first = F.get(linked, F.lit(0))
+    differ = (F.size(linked) > 1) | F.coalesce(F.abs(first - shown) > 0.005, F.lit(False))
+    wrong = F.when(differ, "prices on one page differ").when((F.size(blocks) > 0) & (F.size(linked) == 0) & shown.isNull(), "a product without a price")
+    price = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("double")).otherwise(F.coalesce(first, shown))
+    return pages.withColumns({"price": price, "buyback": buy, "source": F.when(F.size(linked) > 0, "json-ld").when(shown.isNotNull(), "element")})
 
 
 def report_positions(rows: DataFrame, markets: dict[str, str], groups: dict[str, list[str]]) -> DataFrame:

@@ -43,7 +43,7 @@ def news(spark, d) -> DataFrame:
     both = docs.join(ev, docs["doc_id"] == ev["event_id"])
     return both.select(
         F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")).alias("day"), "doc_id", "source", F.to_json(F.array("event_type", "lang")).alias("themes"),
-        F.col("lang").alias("src_lang"), F.col("value").alias("tone"), F.substring("text", 1, 60).alias("title"),
+        F.col("lang").alias("src_lang"), F.col("value").alias("tone"), F.col("text").alias("title"),
     )
 
 
@@ -85,7 +85,7 @@ SQL = {
     "mx": "mx AS (SELECT o_orderdate::date AS ts, o_orderpriority AS series_id, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY 1, 2)",
     "cal": "cal AS (SELECT DISTINCT l_shipdate::date AS ts FROM lineitem WHERE isodow(l_shipdate) < 6)",
     "evt": "evt AS (SELECT ts, ts::date AS day, event_id, event_type, value, props FROM events)",
-    "news": """news AS (SELECT DATE '2024-01-01' + (doc_id % 60)::int AS day, doc_id, source, '["' || event_type || '","' || lang || '"]' AS themes, lang AS src_lang, value AS tone, substr(text, 1, 60) AS title
+    "news": """news AS (SELECT DATE '2024-01-01' + (doc_id % 60)::int AS day, doc_id, source, '["' || event_type || '","' || lang || '"]' AS themes, lang AS src_lang, value AS tone, text AS title
         FROM documents JOIN events ON doc_id = event_id)""",
     "lots": "lots AS (SELECT l_orderkey AS lot_id, l_linenumber AS line, l_returnflag AS metal, o_orderdate::date AS purchased, l_shipdate::date AS disposed, l_quantity AS weight, l_extendedprice AS paid FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     "pos": "pos AS (SELECT (date_trunc('week', o_orderdate) + INTERVAL 1 DAY)::date AS week, o_orderpriority AS metal, count(*) FILTER (o_orderstatus = 'O') AS longs, count(*) FILTER (o_orderstatus = 'F') AS shorts FROM orders GROUP BY 1, 2)",
