@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -242,3 +243,35 @@ def test_secret_scan_leaves_digits_case_and_length_to_the_forest(spark, forest):
     got = secret_scan.scan(frame(spark, rows), forest).collect()
     assert {r.doc_id for r in got if r.is_secret} == set(range(len(secrets)))
     assert {r.doc_id for r in got} == set(range(len(rows)))
+
+
+def slow_candidates(text):
+    """(place, value) of every candidate, word by word."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    told = [re.search(secret_scan._tokens(secret_scan.ANNOUNCE), w.lower()) for w in words]
+    for i, word in enumerate(words):
+        if not (re.search(secret_scan.VALUE, word) or re.search(r"(?:^|[^A-Za-z0-9+/_\-])(?:" + secret_scan.SHORT_PREFIX + ")", word) or any(told[max(0, i - 3) : i + 1])):
+            continue
+        before = " ".join(words[i + k] if i + k >= 0 else "" for k in (-3, -2, -1))
+        for m in re.finditer(secret_scan.RUN, word):
+            ahead = word[: m.start()]
+            field = re.search(secret_scan.FIELD + "*$", ahead)[0]
+            context = field if field != ahead and re.search("[A-Za-z]", field) else f"{before} {ahead}"
+            if re.match(secret_scan.VALUE, m[0]) or re.search(secret_scan.KNOWN, m[0]) or re.search(secret_scan.OPEN, context.lower()):
+                yield i, m[0]
+
+
+def test_secret_scan_whole_documents(spark, forest):
+    """Candidates equal a word-by-word search of every text; all assigned tokens of the documents are found and little else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    long = "word " * 20_000 + 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae"'
+    docs = docs.unionByName(spark.createDataFrame([(-1, long), (-2, "Bearer eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVPmB92K27u")], "doc_id long, text string"))
+    rows = docs.collect()
+    got = secret_scan.scan(docs, forest).collect()
+    assert sorted((r.doc_id, r.place, r.value) for r in got) == sorted((r.doc_id, i, v) for r in rows for i, v in slow_candidates(r.text))
+    planted = {(r.doc_id, v) for r in rows for v in re.findall(r"(?:token|secret|password|key)\s*[=:]\s*[\"']?([0-9a-f]{40})\b", r.text or "")}
+    found = {(r.doc_id, r.value) for r in got if r.is_secret}
+    assert len(planted) >= 10 and planted <= found
+    assert (-2, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVPmB92K27u") in found
+    other = [v for _, v in found - planted if not re.fullmatch(r"(?=.*\d)(?=.*[A-Za-z])[A-Za-z0-9+/_.=-]{8,}", v)]
+    assert len(other) <= 0.1 * len(found), sorted(other)[:20]

@@ -1,7 +1,7 @@
 """Secret scans: candidates by rules, false positives removed by a random forest, all in DataFrame expressions.
 
-A candidate is a run of key characters within a word: of 16 or more, or of any length if it starts as a known kind of
-key or its context announces a secret. Digits and case are left to the forest. Its features are length, character transitions, coverage by dictionary words, path shape and the neighbouring words. The
+A candidate is a run of key characters within a word (a signed web token with the points between its parts): of 16 or
+more, or of any length if it starts as a known kind of key or its context announces a secret. Digits and case are left to the forest. Its features are length, character transitions, coverage by dictionary words, path shape and the neighbouring words. The
 forest is fitted by Spark's own library on labelled findings and walked as an array expression, so scanning a
 corpus is one projection over its words without user functions or a shuffle.
 """
@@ -19,7 +19,7 @@ from .common import text_or_empty
 CUT = 0.5
 TREES, DEPTH = 20, 6
 VALUE = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
-RUN = r"[A-Za-z0-9+/_\-]+={0,2}"
+RUN = r"eyJ[A-Za-z0-9_\-]+(?:\.[A-Za-z0-9_\-]+)+|[A-Za-z0-9+/_\-]+={0,2}"
 SHORT_PREFIX = r"gh[pousr]_|sk[-_]|xox[abp]-|eyJ"
 KNOWN = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^(?:" + SHORT_PREFIX + ")"
 FIELD = r"[^,;&?{}]"
