@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import cut, text_or_empty
 
 #: Bits of a key's place and of one level of cells; rows that a source's last cell may hold.
-PLACE, DIGIT, LAST = 52, 8, 20_000
+PLACE, DIGIT, LAST = 52, 8, 2_000
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST = 3
 SEED = "mix-1"
