@@ -56,15 +56,17 @@ def doubly_robust_ate(df: DataFrame, y: str, treated: str, xs: list[str], key: s
     return whole.agg(F.count(F.lit(1)).alias("n"), F.sum("t").cast("long").alias("n_treated"), F.avg("psi").alias("effect"), (F.stddev_samp("psi") / F.sqrt(F.count(F.lit(1)))).alias("std_error"))
 
 
-def conditional_effects(df: DataFrame, y: str, treated: str, xs: list[str], by: str) -> DataFrame:
-    """Effects by group from one boosted outcome model an arm (a T-learner, in place of a causal forest)."""
+def row_effects(df: DataFrame, y: str, treated: str, xs: list[str]) -> DataFrame:
+    """Rows without nulls with ``effect``: one boosted outcome model an arm (a T-learner, in place of a causal forest)."""
     rows = _vectors(df.dropna(subset=[y, treated, *xs]), xs)
-    rows = rows.persist()
     for a in (0, 1):
-        model = GBTRegressor(featuresCol="__x", labelCol=y, maxIter=15, maxDepth=3, seed=1, predictionCol=f"m{a}").fit(rows.where(F.col(treated).cast("int") == a))
-        rows = model.transform(rows)
-    effect = F.col("m1") - F.col("m0")
-    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg(effect).alias("effect"), F.stddev_samp(effect).alias("spread"))
+        rows = GBTRegressor(featuresCol="__x", labelCol=y, maxIter=15, maxDepth=3, seed=1, predictionCol=f"__m{a}").fit(rows.where(F.col(treated).cast("int") == a)).transform(rows)
+    return rows.withColumn("effect", F.col("__m1") - F.col("__m0")).drop("__x", "__m0", "__m1")
+
+
+def conditional_effects(df: DataFrame, y: str, treated: str, xs: list[str], by: str) -> DataFrame:
+    """Mean and spread of ``row_effects`` by group."""
+    return row_effects(df, y, treated, xs).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("effect").alias("effect"), F.stddev_samp("effect").alias("spread"))
 
 
 def placebo(df: DataFrame, y: str, treated: str, key: str, order: str = "ts", shifts: range = range(5, 61)) -> DataFrame:
@@ -118,6 +120,36 @@ def boosted(df: DataFrame, y: str, xs: list[str], validation: str, test: str, ro
     return model.transform(rows.where(F.col(test))).drop("__x"), weights
 
 
+def boosted_splits(df: DataFrame, y: str, xs: list[str], splits: list[tuple[int, Column, Column, Column]], rounds: int = 40) -> tuple[DataFrame, DataFrame]:
+    """(predictions with split_id, importances by split): ``boosted`` anew for each (id, train, validation, test rows)."""
+    predictions = weights = None
+    for k, train, validation, test in splits:
+        rows = df.where(train | validation | test).withColumns({"__val": validation, "__test": test})
+        p, w = (x.withColumn("split_id", F.lit(k)) for x in boosted(rows, y, xs, "__val", "__test", rounds))
+        p = p.drop("__val", "__test")
+        predictions, weights = (p, w) if predictions is None else (predictions.unionByName(p), weights.unionByName(w))
+    return predictions, weights
+
+
+def topic_model(train: DataFrame, words: str, k: int, size: int = 2000, rounds: int = 10, floor: float = 0.3):
+    """A function that gives rows with an array column of words their topic_id and its weight; -1 below ``floor`` and
+    for no known word. Latent Dirichlet allocation over the ``size`` most frequent words stands in for clustered embeddings."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+
+    counter = CountVectorizer(inputCol=words, outputCol="__counts", vocabSize=size, minDF=2).fit(train)
+    lda = LDA(featuresCol="__counts", k=k, maxIter=rounds, seed=1, optimizer="online", subsamplingRate=0.2).fit(counter.transform(train))
+
+    def assign(rows: DataFrame) -> DataFrame:
+        scored = lda.transform(counter.transform(rows)).withColumn("__p", vector_to_array("topicDistribution"))
+        best = F.array_max("__p")
+        known = F.aggregate(vector_to_array("__counts"), F.lit(0.0), lambda a, x: a + x) > 0
+        topic = F.when(known & (best >= floor), F.array_position("__p", best) - 1).otherwise(-1).cast("int")
+        return scored.withColumns({"topic_id": topic, "weight": best}).drop("__counts", "__p", "topicDistribution")
+
+    return assign
+
+
 def ridge_probe(df: DataFrame, y: str, xs: list[str], part: str, penalties=(0.01, 0.1, 1.0, 10.0)) -> DataFrame:
     """Test RMSE of a ridge whose penalty is the best on validation rows; ``part`` is train, val or test."""
     rows = _vectors(df.dropna(subset=[y, *xs]), xs).cache()
@@ -174,11 +206,30 @@ def regimes(df: DataFrame, columns: list[str], train: Column, k: int = 4, compon
     return model.transform(rows).withColumn("confidence", best).withColumn("cluster_id", F.when(F.col("confidence") < noise, -1).otherwise(F.col("prediction"))).drop("__x", "probability", "prediction")
 
 
-def sign_restricted_irf(spark, y: np.ndarray, p: int, horizon: int, restrictions: dict[tuple[int, int], int], draws: int = 2000, seed: int = 1) -> DataFrame:
-    """Percentile bands (shock, variable, step) of impulse responses over stationary draws that meet the sign restrictions.
+def match_shocks(impact: np.ndarray, restrictions: dict[str, dict[int, int]]) -> dict[str, tuple[int, int]] | None:
+    """(column, flip) of each shock, columns distinct, so that a flipped column has the shock's signs by variable; None if there is none."""
+    signs = np.sign(impact)
+    fits = {s: {c: f for c in range(impact.shape[1]) for f in (-1, 1) if all(f * signs[v, c] == sign for v, sign in cells.items())} for s, cells in restrictions.items()}
+
+    def place(shocks: list[str], used: frozenset) -> dict | None:
+        if not shocks:
+            return {}
+        for c, f in fits[shocks[0]].items():
+            rest = None if c in used else place(shocks[1:], used | {c})
+            if rest is not None:
+                return {shocks[0]: (c, f)} | rest
+        return None
+
+    return place(list(restrictions), frozenset())
+
+
+def sign_restricted_irf(spark, y: np.ndarray, p: int, horizon: int, restrictions: dict[str, dict[int, int]], accepted: int = 500, most: int = 50_000, seed: int = 1) -> DataFrame:
+    """Percentile bands (shock, variable, step) of impulse responses over ``accepted`` stationary draws that some assignment of columns and flips
+    makes meet the sign restrictions, of ``most`` draws at most.
 
     Coefficients and covariance are drawn from the normal-inverse-Wishart posterior, rotations uniformly;
-    ``restrictions`` maps (variable, shock) to the sign at impact. Draws are independent rows dealt to all tasks.
+    ``restrictions`` maps a shock to the signs of variables at impact. Draws are independent rows dealt to all tasks, in
+    rounds that double until enough are accepted; the accepted draws of lowest number are kept.
     """
     n, m = len(y) - p, y.shape[1]
     x = np.hstack([np.ones((n, 1)), *[y[p - k : len(y) - k] for k in range(1, p + 1)]])
@@ -195,8 +246,7 @@ def sign_restricted_irf(spark, y: np.ndarray, p: int, horizon: int, restrictions
             for i in pdf["id"]:
                 rng = np.random.default_rng([seed, int(i)])
                 low = np.tril(rng.normal(size=(m, m)), -1) + np.diag(np.sqrt(rng.chisquare(freedom - np.arange(m))))
-                sigma = np.linalg.inv(chol_s @ low @ low.T @ chol_s.T)
-                root = np.linalg.cholesky(sigma)
+                root = np.linalg.cholesky(np.linalg.inv(chol_s @ low @ low.T @ chol_s.T))
                 b = beta + chol_x @ rng.normal(size=beta.shape) @ root.T
                 companion = np.zeros((m * p, m * p))
                 companion[:m] = b[1:].T
@@ -205,16 +255,24 @@ def sign_restricted_irf(spark, y: np.ndarray, p: int, horizon: int, restrictions
                     continue
                 q, r = np.linalg.qr(rng.normal(size=(m, m)))
                 impact = root @ (q * np.sign(np.diag(r)))
-                if any(np.sign(impact[v, s]) != sign for (v, s), sign in restrictions.items()):
+                found = match_shocks(impact, restrictions)
+                if found is None:
                     continue
                 power = np.eye(m * p)
                 for h in range(horizon + 1):
                     cell = power[:m, :m] @ impact
-                    out += [(int(i), h, v, s, float(cell[v, s])) for v in range(m) for s in range(m)]
+                    out += [(int(i), h, v, s, float(cell[v, c] * f)) for s, (c, f) in found.items() for v in range(m)]
                     power = companion @ power
             yield pd.DataFrame(out, columns=["draw", "step", "variable", "shock", "response"])
 
-    kept = spark.range(draws).mapInPandas(responses, "draw long, step int, variable int, shock int, response double")
+    draws = min(most, 2 * accepted)
+    while True:
+        kept = spark.range(draws).mapInPandas(responses, "draw long, step int, variable int, shock string, response double")
+        numbers = [r["draw"] for r in kept.where("step = 0").select("draw").distinct().orderBy("draw").limit(accepted).collect()]  # ``accepted`` numbers at most
+        if len(numbers) >= accepted or draws >= most:
+            break
+        draws = min(most, 2 * draws)
+    kept = kept.where(F.col("draw") <= (numbers[-1] if numbers else -1))
     return kept.groupBy("shock", "variable", "step").agg(F.count(F.lit(1)).alias("accepted"), *[F.percentile("response", q).alias(c) for q, c in ((0.16, "low"), (0.5, "median"), (0.84, "high"))])
 
 

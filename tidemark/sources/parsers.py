@@ -141,14 +141,14 @@ def attach_settlements(vol: DataFrame, settle: DataFrame) -> DataFrame:
 CALENDAR = "array<struct<title:string,country:string,date:string,impact:string,forecast:string,previous:string>>"
 
 
-def consensus(payloads: DataFrame, titles: dict[str, tuple[str, str]], pulled_at: str, column: str = "payload") -> DataFrame:
+def consensus(payloads: DataFrame, titles: dict[str, tuple[str, str]], pulled_at: str, column: str = "payload", keep: tuple[str, ...] = ()) -> DataFrame:
     """US rows of the listed titles: UTC release time, forecast and previous by unit, whether pulled before release, violations."""
-    rows = payloads.select(F.inline(F.from_json(column, CALENDAR))).where("country = 'USD'")
+    rows = payloads.select(*keep, F.inline(F.from_json(column, CALENDAR))).where("country = 'USD'")
     names = rows.sparkSession.createDataFrame([(t, f, u) for t, (f, u) in titles.items()], "title string, field string, unit string")
     rows = rows.join(F.broadcast(names), "title").withColumn("release_utc", F.to_utc_timestamp(F.to_timestamp("date", "yyyy-MM-dd'T'HH:mm:ssXXX"), F.current_timezone()).cast("timestamp_ntz"))
     forecast, bad = X.suffixed_number(F.col("forecast"), F.col("unit"))
     previous, worse = X.suffixed_number(F.col("previous"), F.col("unit"))
-    return rows.select("release_utc", "field", forecast.alias("forecast"), previous.alias("previous"), (F.lit(pulled_at).cast("timestamp_ntz") <= F.col("release_utc")).alias("is_realtime"), (bad | worse).alias("violation"))
+    return rows.select(*keep, "release_utc", "field", forecast.alias("forecast"), previous.alias("previous"), (F.lit(pulled_at).cast("timestamp_ntz") <= F.col("release_utc")).alias("is_realtime"), (bad | worse).alias("violation"))
 
 
 LINKED = r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'
