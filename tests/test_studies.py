@@ -11,6 +11,7 @@ from tidemark.functions import dates as D
 from tidemark.operators import context as K
 from tidemark.operators import estimators as E
 from tidemark.operators import scenarios as C
+from tidemark.operators import selection as S
 from tidemark.operators import store
 from tidemark.operators import upserts as U
 
@@ -186,3 +187,16 @@ def test_store(spark, tmp_path):
     assert store.stages(b, steps, f"{root}/run").columns == ["k", "one", "two"] and ran == ["one", "two"]
     store.stages(b, steps, f"{root}/run", only="two")
     assert ran == ["one", "two", "two"]
+
+
+def test_bridge_quotas_and_cap(spark):
+    assert S.bridge_quotas(5, {"fr": 3}, 10, 0.6, 0.4) == {None: 5, "fr": 3}
+    assert S.bridge_quotas(100, {"fr": 50, "de": 30, "zh": 1}, 20, 0.6, 0.4) == {None: 13, "fr": 3, "de": 3, "zh": 1}
+    assert S.bridge_quotas(2, {"fr": 50, "de": 30}, 20, 0.6, 0.4) == {None: 2, "fr": 10, "de": 8}
+    assert S.ceiled_shares({"a": 5, "b": 5, "c": 1}, 6, 9) == {"a": 3, "b": 3, "c": 0} and S.ceiled_shares({"a": 2, "b": 9}, 8, 3) == {"a": 2, "b": 3}
+    rows = spark.createDataFrame([(d, i, ["fr", "de", "en"][i % 3], i % 3 != 2) for d in (1, 2) for i in range(90)] + [(3, 1, "en", False)], "day int, i int, lang string, bridge boolean")
+    got = S.bridge_cap(rows, "day", F.col("bridge"), "lang", F.col("i") >= 45, ["i"], 20)
+    n = {(r.day, r.lang): r["count"] for r in got.groupBy("day", "lang").count().collect()}
+    assert n == {(d, k): v for d in (1, 2) for k, v in {"en": 14, "fr": 3, "de": 3}.items()} | {(3, "en"): 1}
+    assert sorted(r.i for r in got.where("day = 1 and lang = 'fr'").collect()) == [0, 30, 60]
+    assert got.where("day = 1 and lang = 'en' and i >= 45").count() == 7

@@ -45,6 +45,13 @@ def vector_state(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return whole.select(key, "n", "norm", F.transform("mean", lambda m: m / F.col("norm")).alias("centroid"), F.when(F.col("n") >= 2, 1 - F.col("norm")).alias("dispersion"))
 
 
+def market_state(articles: DataFrame, vectors: DataFrame, key: str, tones: list[str], vector: str) -> DataFrame:
+    """By day: articles, the null-skipping mean of each tone, the mean unit vector and the dispersion around it."""
+    state = articles.groupBy("day").agg(F.count(F.lit(1)).alias("n_articles"), *[F.avg(t).alias(f"tone_{t}") for t in tones])
+    spread = vector_state(articles.select("day", key).join(vectors, key), "day", vector).select("day", "centroid", "dispersion")
+    return state.join(spread, "day", "left")
+
+
 def language_counts(news: DataFrame, base: Column, bridge: Column) -> DataFrame:
     """By language: rows, those the base gate admits, those the bridge alone adds, the same as distinct (day, lower title), and days."""
     rows = news.select("src_lang", "day", F.xxhash64("day", F.lower("title")).alias("key"), F.coalesce(base, F.lit(False)).alias("cur"), F.coalesce(bridge, F.lit(False)).alias("new"))

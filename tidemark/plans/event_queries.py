@@ -44,6 +44,19 @@ def macro_changes(spark, d):
     return rounded(aligned(spark, d).select("ts", "series_id", t("diff", 5).alias("chg_5d"), t("diff", 20).alias("chg_20d"), t("pct_change", 5).alias("pct_5d")))
 
 
+@query(
+    ctes("mx", "cal", more=GRID) + """, wd AS (SELECT ts, max(value) FILTER (series_id = '1-URGENT') AS a, max(value) FILTER (series_id = '2-HIGH') AS b, max(value) FILTER (series_id = '3-MEDIUM') AS c FROM al GROUP BY ts)
+    SELECT ts, round(a - b, 6) AS real_yield, round(a - b - lag(a - b, 5) OVER o, 6) AS real_yield_chg_5d, round(a - b - lag(a - b, 20) OVER o, 6) AS real_yield_chg_20d, round(a - c, 6) AS slope, round(a - c - lag(a - c, 5) OVER o, 6) AS slope_chg_5d FROM wd WINDOW o AS (ORDER BY ts)"""
+)
+def macro_spreads(spark, d):
+    """Differences of series (as a real yield and a curve's slope) and their changes, by calendar day."""
+    of = lambda s: F.max(F.when(F.col("series_id") == s, F.col("value")))
+    wide = aligned(spark, d).groupBy("ts").agg((of("1-URGENT") - of("2-HIGH")).alias("real_yield"), (of("1-URGENT") - of("3-MEDIUM")).alias("slope"))
+    by = Window.partitionBy(F.lit(0)).orderBy("ts")  # one row a day
+    change = lambda c, k: (F.col(c) - F.lag(c, k).over(by)).alias(f"{c}_chg_{k}d")
+    return rounded(wide.select("ts", "real_yield", change("real_yield", 5), change("real_yield", 20), "slope", change("slope", 5)))
+
+
 @query(
     ctes("mx", "cal", more=GRID) + """SELECT ts, series_id, CASE WHEN len(l) = 60 AND value IS NOT NULL THEN round((len(list_filter(l, lambda x: x < value)) + (len(list_filter(l, lambda x: x = value)) + 1) / 2.0) / 60, 6) END AS pctile
     FROM (SELECT *, list_filter(list(value) OVER (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), lambda x: x IS NOT NULL) AS l FROM al)"""

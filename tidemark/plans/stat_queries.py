@@ -91,10 +91,16 @@ def cross_metal_consistency(spark, d):
     return rounded(M.sign_stability(both, ["split_id"]))
 
 
-@query(ctes("prd") + "SELECT ticker, count(*) AS n, round(avg(actual) FILTER (t) - avg(actual) FILTER (NOT t), 6) AS difference FROM (SELECT ticker, actual, prediction > 0.05 AS t FROM prd WHERE run_id = 'walk' AND split_id >= 1999) GROUP BY ticker")
+@query(
+    ctes("prd", more="tr AS (SELECT ticker, count(*) FILTER (split_id >= 1999) AS n, round(avg(actual) FILTER (t AND split_id < 1999) - avg(actual) FILTER (NOT t AND split_id < 1999), 6) AS train, round(avg(actual) FILTER (t AND split_id >= 1999) - avg(actual) FILTER (NOT t AND split_id >= 1999), 6) AS difference FROM (SELECT ticker, split_id, actual, prediction > 0.05 AS t FROM prd WHERE run_id = 'walk') GROUP BY ticker)")
+    + "SELECT ticker, n, train, difference, sign(difference) = sign(train) AS sign_agree, round(difference / nullif(train, 0), 4) AS ratio FROM tr WHERE n > 0"
+)
 def holdout_diff(spark, d):
-    p = T.predictions(spark, d).where("run_id = 'walk' and split_id >= 1999").withColumn("t", F.col("prediction") > 0.05)
-    return rounded(p.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), (F.avg(F.when(F.col("t"), F.col("actual"))) - F.avg(F.when(~F.col("t"), F.col("actual")))).alias("difference")))
+    """Treated less control before and in the hold-out: whether the signs agree, and how large the later is beside the former."""
+    p = T.predictions(spark, d).where("run_id = 'walk'").withColumns({"t": F.col("prediction") > 0.05, "late": F.col("split_id") >= 1999})
+    mean = lambda t, late: F.avg(F.when((F.col("t") == t) & (F.col("late") == late), F.col("actual")))
+    got = p.groupBy("ticker").agg(F.count_if("late").alias("n"), F.round(mean(True, False) - mean(False, False), 6).alias("train"), F.round(mean(True, True) - mean(False, True), 6).alias("difference")).where("n > 0")
+    return got.withColumns({"sign_agree": F.signum("difference") == F.signum("train"), "ratio": F.round(F.try_divide("difference", F.nullif("train", F.lit(0.0))), 4)})
 
 
 @query(ctes("prd") + "SELECT ticker, count(*) AS n, " + CORR.format("rx", "ry") + " AS ic FROM (SELECT ticker, rank() OVER (PARTITION BY ticker ORDER BY prediction) + (count(*) OVER (PARTITION BY ticker, prediction) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY ticker ORDER BY actual) + (count(*) OVER (PARTITION BY ticker, actual) - 1) / 2.0 AS ry FROM prd WHERE run_id = 'walk') GROUP BY ticker")

@@ -274,6 +274,15 @@ def bulk_update_dedup(spark, d):
     return S.first_of_key(T.read(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), "o_orderkey"]).select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
 
 
+@query("SELECT c_custkey, c_name, coalesce(o_orderpriority, c_mktsegment) AS c_mktsegment, o_orderkey IS NOT NULL AS updated FROM customer LEFT JOIN (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1) ON c_custkey = o_custkey")
+def bulk_update(spark, d):
+    """A table's column set from the latest landed row of its key, where there is one."""
+    fresh = bulk_update_dedup(spark, d).select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("c_mktsegment"))
+    stored = T.read(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    hit = fresh.select("c_custkey", F.lit(True).alias("hit"))
+    return U.write_labels(stored, fresh, "c_custkey", "c_mktsegment").join(hit, "c_custkey", "left").select("c_custkey", "c_name", "c_mktsegment", F.coalesce("hit", F.lit(False)).alias("updated"))
+
+
 @query(ctes("px") + "SELECT count(*) AS n, min(ts) AS first_day, max(ts) AS last_day, count(DISTINCT ticker) AS n_tickers FROM px")
 def price_facts(spark, d):
     return T.prices(spark, d).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_day"), F.max("ts").alias("last_day"), F.count_distinct("ticker").alias("n_tickers"))

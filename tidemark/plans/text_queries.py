@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.functions import windows as w
 from tidemark.operators import news as N
+from tidemark.operators import selection as S
 from tidemark.sources import tables as T
 from tidemark.sources.tables import ctes
 
@@ -97,6 +98,28 @@ def lang_gate_counts(spark, d):
     return N.language_counts(T.news(spark, d), kept & ~bridge, bridge)
 
 
+@query()
+def bridge_cap(spark, d):
+    """At most six admitted titles a day, base floor and language shares as for annotation."""
+    kept, bridge = _gate()
+    news = T.news(spark, d).withColumns({"kept": kept, "bridge": bridge}).where("kept")
+    return S.bridge_cap(news, "day", F.col("bridge"), "src_lang", F.col("doc_id") % 24 >= 13, ["doc_id"], 6).select("day", "doc_id", "src_lang", "bridge")
+
+
+MARKET = """mk AS (SELECT doc_id, day, tone, event_id % 7 AS pos, embedding FROM news JOIN events ON event_id = doc_id LEFT JOIN embeddings ON vec_id = doc_id WHERE themes LIKE '%"click"%' OR themes LIKE '%"purchase"%' OR themes LIKE '%"view"%'),
+    un AS (SELECT day, list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double)))) AS e FROM mk WHERE embedding IS NOT NULL),
+    ce AS (SELECT day, i, avg(e[i]) AS m, count(*) AS n FROM un, range(1, 65) t(i) GROUP BY 1, 2), di AS (SELECT day, CASE WHEN max(n) >= 2 THEN 1 - sqrt(sum(m * m)) END AS d FROM ce GROUP BY day)"""
+
+
+@query(ctes("news", more=MARKET) + "SELECT mk.day, count(*) AS n_articles, round(avg(tone), 6) AS tone_overall, round(avg(pos), 6) AS tone_positive, round(avg(tone - pos), 6) AS tone_negative, round(max(d), 6) AS dispersion FROM mk LEFT JOIN di ON mk.day = di.day GROUP BY mk.day")
+def market_text_state(spark, d):
+    """One state a day of the articles with a known theme: tones, and how far their vectors spread."""
+    known = F.arrays_overlap(X.tolerant_themes(F.col("themes")), F.array(*map(F.lit, ("click", "purchase", "view"))))
+    rows = T.news(spark, d).where(known).select("doc_id", "day", F.col("tone").alias("overall"), (F.col("doc_id") % 7).cast("double").alias("positive"))
+    rows = rows.withColumn("negative", F.col("overall") - F.col("positive"))
+    return rounded(N.market_state(rows, T.read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", ["overall", "positive", "negative"], "embedding").drop("centroid"))
+
+
 @query("SELECT lang, count(*) AS n, round(avg(quality), 6) AS precision, count(*) FILTER (quality = 0) AS n_wrong, CASE WHEN avg(quality) >= 0.85 THEN 'pass' ELSE 'fail' END AS verdict FROM labels JOIN documents USING (doc_id) GROUP BY lang")
 def lang_precision(spark, d):
     both = T.read(spark, d, "labels").join(T.read(spark, d, "documents").select("doc_id", "lang"), "doc_id")
