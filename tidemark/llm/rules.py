@@ -1,7 +1,8 @@
 """Quality rules: a threshold table compiled into one Spark projection, without user functions.
 
 Measures that need arrays (words, 8-word windows) are columns of their own, so that higher-order functions look
-them up instead of computing them again for each element.
+them up instead of computing them again for each element. Each word is hashed once; a window's hash is made from those
+of its halves, in three passes.
 """
 
 from __future__ import annotations
@@ -39,17 +40,16 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")).alias("words"),
         F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("lines"),
     )
-    rows = rows.select(
-        id_col, "t", "words", "lines",
-        F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")).alias("h"),
-    )
+    rows = rows.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
+    for k in (1, 2, 4):  # each pass hashes neighbours that lie ``k`` words apart: 2, 4, then 8 words
+        left = F.size("h") - k
+        rows = rows.withColumn("h", F.when(left > 0, F.zip_with(F.slice("h", 1, left), F.slice("h", 1 + k, left), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>")))
     rows = rows.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))).otherwise(F.array().cast("array<struct<x:bigint,i:int>>")))
     twin = lambda j: (F.get("s", j)["x"] == F.get("s", j - 1)["x"]) | (F.get("s", j)["x"] == F.get("s", j + 1)["x"])
     at = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda j: F.coalesce(twin(j), F.lit(False)))
     rows = rows.withColumn("p", F.when(F.size("s") > 0, F.array_sort(F.transform(at, lambda j: F.get("s", j)["i"]))).otherwise(F.array().cast("array<int>")))
     reach = F.transform("p", lambda x, k: F.least(F.coalesce(F.get("p", k + 1) - x, F.lit(WINDOW)), F.lit(WINDOW)))
     count = lambda chars: (F.char_length(t) - F.char_length(F.translate(t, chars, ""))).cast("long")
-    lower = F.array(*map(F.lit, STOP_WORDS))
     rows = rows.select(
         id_col,
         F.size("words").cast("long").alias("n_words"),
@@ -58,7 +58,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.aggregate(reach, F.lit(0), lambda a, x: a + x).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        F.size(F.filter("words", lambda w: F.array_contains(lower, F.lower(w)))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
         count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
         count("abcdefghijklmnopqrstuvwxyz").alias("n_lower"),
     )
