@@ -41,7 +41,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Rows that repeat both id and text are alike and all carry the same verdict. See ``text_groups`` for nulls;
-    an empty table gives an empty result; other columns of ``docs`` are not read.
+    an empty table gives an empty result; other columns of ``docs`` are not read. The join's sides are ids with digests
+    and one row a digest; a digest of very many rows makes its left partition large, which adaptive execution splits:
+    the check on digests in ``_combine`` renames the column, so that the join has an exchange of its own.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(text_or_empty(text_col).cast("binary"), 256).alias("sha"))
     found = rows.join(text_groups(docs, id_col, text_col, salts), "sha")

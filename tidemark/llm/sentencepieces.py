@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 Encoding keeps an agenda of adjacent symbol pairs whose union is a piece, ordered by score and then by position;
-the best pair is merged and its new neighbours join the agenda until none is left. Symbols outside the vocabulary
+the best pair is merged and its new neighbours join the agenda until none is left. The agenda of a word of up to 48
+symbols is a list, of which the least entry is taken, which is faster; longer words keep it as a heap. Symbols outside the vocabulary
 fall back to byte pieces. No piece of the vocabulary may cross the start of a word (checked when the model is
 loaded), so a text is encoded word by word and equal words are encoded once per task.
 """
