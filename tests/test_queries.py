@@ -9,7 +9,7 @@ import pytest
 from tidemark.plans.catalogue import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"ate_aipw", "cate", "gbt_vol", "gbt_importances", "ridge_probe", "regimes", "holdout_bakeoff", "projection_robustness", "topic_assign"}
+SLOW = {"ate_aipw", "cate", "gbt_vol", "gbt_importances", "ridge_probe", "regimes", "holdout_bakeoff", "projection_robustness", "topic_assign", "logistic_probe"}
 
 
 @pytest.fixture(scope="module")

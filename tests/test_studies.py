@@ -132,6 +132,11 @@ def test_models_learn_what_is_there(spark):
     assert p.groupBy("split_id").count().collect() == [(1, 150), (2, 150)] or p.count() == 300
     assert {r.split_id: r.feature for r in w.where("importance > 0.9").collect()} == {1: "a", 2: "a"}
     assert E.canonical_factors(rows, ["a", "b"], ["y"], F.lit(True), 1).first().correlation > 0.99
+    scored = E.canonical_scores(rows, ["a", "b"], ["y"], F.lit(True), 1)
+    assert scored.agg(F.corr("left_1", "right_1")).first()[0] > 0.99 and scored.agg(F.stddev_pop("left_1")).first()[0] == pytest.approx(1, abs=1e-3)
+    up = rows.withColumn("up", (F.col("y") > 0).cast("int"))
+    probe = E.logistic_probe(up, "up", ["a", "b"], "part").first()
+    assert probe.test_auc > 0.98 and probe.test_accuracy > 0.9
     pcs = E.whitened_pca(rows, ["a", "y"], F.lit(True), 1).agg(F.stddev_pop("pc_1")).first()[0]
     assert pcs == pytest.approx(1, abs=1e-6)
     two = rows.withColumns({"a": F.col("a") * 0.1 + F.when(F.col("b") > 0, 5).otherwise(-5), "c": F.col("y") * 0.01})

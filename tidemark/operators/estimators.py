@@ -120,6 +120,20 @@ def boosted(df: DataFrame, y: str, xs: list[str], validation: str, test: str, ro
     return model.transform(rows.where(F.col(test))).drop("__x"), weights
 
 
+def logistic_probe(df: DataFrame, label: str, xs: list[str], part: str, penalties=(0.01, 0.1, 1.0, 10.0)) -> DataFrame:
+    """Test accuracy and area under the curve of a logistic model whose penalty is the best on validation rows."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    rows = _vectors(df.dropna(subset=[label, *xs]).withColumn("__y", F.col(label).cast("double")), xs).cache()
+    rate = BinaryClassificationEvaluator(labelCol="__y", rawPredictionCol="rawPrediction")
+    fits = [(rate.evaluate(m.transform(rows.where(F.col(part) == "val"))), -p, m) for p in penalties for m in [LogisticRegression(featuresCol="__x", labelCol="__y", regParam=p).fit(rows.where(F.col(part) == "train"))]]
+    val, penalty, model = max(fits, key=lambda f: f[:2])
+    scored = model.transform(rows.where(F.col(part) == "test"))
+    out = (float(-penalty), float(val), float(rate.evaluate(scored)), scored.agg(F.avg((F.col("prediction") == F.col("__y")).cast("double"))).first()[0])
+    rows.unpersist()
+    return df.sparkSession.createDataFrame([out], "penalty double, val_auc double, test_auc double, test_accuracy double")
+
+
 def boosted_splits(df: DataFrame, y: str, xs: list[str], splits: list[tuple[int, Column, Column, Column]], rounds: int = 40) -> tuple[DataFrame, DataFrame]:
     """(predictions with split_id, importances by split): ``boosted`` anew for each (id, train, validation, test rows)."""
     predictions = weights = None
@@ -183,17 +197,31 @@ def whitened_pca(df: DataFrame, columns: list[str], train: Column, k: int) -> Da
     return df.withColumns({f"pc_{j + 1}": score(j) for j in range(loads.shape[1])})
 
 
-def canonical_factors(df: DataFrame, left: list[str], right: list[str], train: Column, k: int) -> DataFrame:
-    """(factor, correlation) between two views: singular values of their whitened cross-covariance on training rows."""
-    n, _, cov = moments(df.where(train), [*left, *right])
+def _canonical(df: DataFrame, left: list[str], right: list[str], train: Column, k: int):
+    n, mean, cov = moments(df.where(train), [*left, *right])
     p = len(left)
 
     def root(a):
         values, vectors = np.linalg.eigh(a + 1e-9 * np.eye(len(a)))
         return vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-9))) @ vectors.T
 
-    s = np.linalg.svd(root(cov[:p, :p]) @ cov[:p, p:] @ root(cov[p:, p:]), compute_uv=False)[:k]
-    return df.sparkSession.createDataFrame([(i + 1, float(min(1.0, x)), n) for i, x in enumerate(s)], "factor int, correlation double, n long")
+    a, b = root(cov[:p, :p]), root(cov[p:, p:])
+    u, s, v = np.linalg.svd(a @ cov[:p, p:] @ b)
+    flips = np.sign(u[np.abs(u).argmax(0), np.arange(u.shape[1])])[:k]  # the largest weight of a left factor is positive
+    return n, mean, np.minimum(s[:k], 1.0), (a @ u[:, :k]) * flips, (b @ v[:k].T) * flips
+
+
+def canonical_factors(df: DataFrame, left: list[str], right: list[str], train: Column, k: int) -> DataFrame:
+    """(factor, correlation) between two views: singular values of their whitened cross-covariance on training rows."""
+    n, _, s, _, _ = _canonical(df, left, right, train, k)
+    return df.sparkSession.createDataFrame([(i + 1, float(x), n) for i, x in enumerate(s)], "factor int, correlation double, n long")
+
+
+def canonical_scores(df: DataFrame, left: list[str], right: list[str], train: Column, k: int) -> DataFrame:
+    """``df`` with left_1..k and right_1..k: both views' factors, fitted on training rows, of unit variance there."""
+    _, mean, _, a, b = _canonical(df, left, right, train, k)
+    score = lambda names, w, off, j: sum(((F.col(c) - float(mean[off + i])) * float(w[i, j]) for i, c in enumerate(names)), F.lit(0.0))
+    return df.withColumns({f"left_{j + 1}": score(left, a, 0, j) for j in range(k)} | {f"right_{j + 1}": score(right, b, len(left), j) for j in range(k)})
 
 
 def regimes(df: DataFrame, columns: list[str], train: Column, k: int = 4, components: int = 2, noise: float = 0.5) -> DataFrame:

@@ -169,6 +169,17 @@ def ridge_probe(spark, d):
     return E.ridge_probe(panel(spark, d).withColumn("part", part), "cum_5d", XS, "part")
 
 
+@query()
+def logistic_probe(spark, d):
+    part = F.when(F.year("ts") < 1996, "train").when(F.year("ts") == 1996, "val").otherwise("test")
+    return E.logistic_probe(panel(spark, d).withColumn("part", part).withColumn("up", (F.col("cum_5d") > 0).cast("int")), "up", [*XS, "r"], "part")
+
+
+@query()
+def joint_scores(spark, d):
+    return E.canonical_scores(panel(spark, d).dropna(subset=[*XS, "r"]), XS[:2], [XS[2], "r"], F.year("ts") < 1999, 2).select("ts", "ticker", "left_1", "left_2", "right_1", "right_2")
+
+
 @query()
 def whitened_pca(spark, d):
     return E.whitened_pca(panel(spark, d).dropna(subset=XS), XS, F.year("ts") < 1999, 2).select("ts", "ticker", "pc_1", "pc_2")

@@ -101,6 +101,58 @@ def local_times(spark, d):
     return T.read(spark, d, "orders").select("o_orderkey", utc.alias("utc"), rule.alias("violation"))
 
 
+def _lines(spark, head: list[str], rows):
+    """(line, at): fixed lines, then ``rows`` (order, line)."""
+    top = spark.createDataFrame([(x, i - 100) for i, x in enumerate(head)], "line string, at long")
+    return top.unionByName(rows.select("line", F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long").alias("at")))
+
+
+@query(
+    """SELECT m AS period_start, 'MONTH' AS unit, t AS term, 'US' AS geo, CASE WHEN v < 1 THEN 0.0 ELSE v::double END AS value, v < 1 AS below_one
+    FROM (SELECT date_trunc('month', o_orderdate)::date AS m, t, count(*) FILTER (o_orderpriority = p) % 100 AS v FROM orders, (VALUES ('1-URGENT', 'sell gold'), ('2-HIGH', 'cash')) q(p, t) GROUP BY 1, 2)"""
+)
+def trend_export(spark, d):
+    """Monthly interest by term, read back from the lines of an export."""
+    n = lambda p: F.count_if(F.col("o_orderpriority") == p) % 100
+    shown = lambda c: F.when(c < 1, "<1").otherwise(c.cast("string"))
+    months = T.read(spark, d, "orders").groupBy(F.trunc("o_orderdate", "month").alias("day")).agg(n("1-URGENT").alias("a"), n("2-HIGH").alias("b"))
+    rows = months.select("day", F.concat_ws(",", F.date_format("day", "yyyy-MM"), shown(F.col("a")), shown(F.col("b"))).alias("line"))
+    return P.trend_rows(_lines(spark, ["Category: All categories", "", "Month,sell gold: (US),cash: (US)"], rows))
+
+
+@query("SELECT day AS price_date, metal, price, 'close' AS quote FROM (SELECT o_orderdate::date AS day, unnest(['platinum', 'palladium']) AS metal, unnest([round(avg(o_totalprice), 2), CASE WHEN count(*) % 3 <> 0 THEN round(max(o_totalprice), 2) END]) AS price FROM orders GROUP BY 1) WHERE price IS NOT NULL")
+def metal_table(spark, d):
+    """Day-first prices by metal, some blank, read back from the lines of a published table."""
+    o = T.read(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.round(F.avg("o_totalprice"), 2).alias("a"), F.round(F.max("o_totalprice"), 2).alias("b"), F.count(F.lit(1)).alias("n"))
+    b = F.when(F.col("n") % 3 != 0, F.col("b").cast("string")).otherwise("")
+    rows = o.select("day", F.concat_ws(",", F.date_format("day", "dd/MM/yyyy"), F.col("a").cast("string"), b).alias("line"))
+    return rounded(P.metal_rows(_lines(spark, ["Base prices", "Date,Platinum,Palladium"], rows), "close"), 2)
+
+
+@query("SELECT day, a, b FROM (SELECT o_orderkey, o_orderdate::date AS day, CASE WHEN o_orderkey % 3 = 0 THEN round(o_totalprice, 2) END AS a, CASE WHEN o_orderkey % 5 = 0 THEN round(o_totalprice + 1, 2) END AS b FROM orders) WHERE coalesce(a, b) IS NOT NULL")
+def sheet_measures(spark, d):
+    """A sheet's rows as landed strings: those with a measure are kept."""
+    o, k = T.read(spark, d, "orders"), F.col("o_orderkey")
+    cell = lambda test, x: F.when(test, F.round(x, 2).cast("string")).otherwise("-")
+    return rounded(P.sheet_rows(o.select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), cell(k % 3 == 0, F.col("o_totalprice")).alias("a"), cell(k % 5 == 0, F.col("o_totalprice") + 1).alias("b")), "day", ["a", "b"]), 2)
+
+
+@query("""SELECT DISTINCT o_orderdate::date AS day, 'cpi' AS event_type, '08:30' AS release_time, '{"kind":"' || o_orderpriority || '"}' AS metadata FROM orders WHERE o_orderdate <= '1997-12-31' AND o_orderstatus <> 'P'""")
+def release_calendar(spark, d):
+    """Releases with valid days and times up to a cutoff."""
+    o = T.read(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.when(F.col("o_orderstatus") == "P", "25:99").otherwise("08:30").alias("time"), F.col("o_orderpriority").alias("kind"))
+    return P.calendar_rows(o, "day", "time", "cpi", "1997-12-31")[0]
+
+
+@query(
+    """WITH c AS (SELECT o_orderdate::date::varchar AS day, CASE WHEN o_orderstatus = 'P' THEN '25:99' ELSE '08:30' END AS t, o_orderpriority AS kind FROM orders WHERE o_orderdate <= '1997-12-31')
+    SELECT day AS value, 'bad time' AS rule FROM c WHERE t = '25:99' UNION ALL SELECT day, 'repeated row' FROM (SELECT day, t, kind FROM c GROUP BY ALL HAVING count(*) > 1)"""
+)
+def release_violations(spark, d):
+    o = T.read(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.when(F.col("o_orderstatus") == "P", "25:99").otherwise("08:30").alias("time"), F.col("o_orderpriority").alias("kind"))
+    return P.calendar_rows(o, "day", "time", "cpi", "1997-12-31")[1]
+
+
 @query("SELECT 'orders' AS name, count(*) AS n FROM orders UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'events', count(*) FROM events")
 def preflight(spark, d):
     """Row counts of the tables that a run needs, none empty."""

@@ -28,8 +28,15 @@ def raw_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def event_calendar(spark: SparkSession, path: str, day: str, time: str, columns: list[str], event_type: str, cutoff: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(events, violations): days, HH:MM times and unique (day, rest) rows; other columns go to JSON metadata."""
-    rows = raw_csv(spark, path, columns).withColumn("__day", F.col(day).try_cast("date")).withColumn("__time", F.col(time).rlike(r"^([01]\d|2[0-3]):[0-5]\d$"))
+    """``calendar_rows`` of a CSV file whose header is exactly ``columns``."""
+    return calendar_rows(raw_csv(spark, path, columns), day, time, event_type, cutoff)
+
+
+def calendar_rows(rows: DataFrame, day: str, time: str, event_type: str, cutoff: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, violations) of all-string rows: days, HH:MM times and unique (day, rest) rows; other columns go to JSON
+    metadata. Days after ``cutoff`` are left out."""
+    columns = rows.columns
+    rows = rows.withColumn("__day", F.col(day).try_cast("date")).withColumn("__time", F.col(time).rlike(r"^([01]\d|2[0-3]):[0-5]\d$"))
     rows = rows.where(F.col("__day").isNull() | (F.col("__day") <= F.lit(cutoff).cast("date"))) if cutoff else rows
     bad = F.when(F.col("__day").isNull(), "bad date").when(F.coalesce(~F.col("__time"), F.col(time).isNotNull()), "bad time")
     rows = rows.withColumn("rule", bad)
@@ -39,24 +46,31 @@ def event_calendar(spark: SparkSession, path: str, day: str, time: str, columns:
     return events, rows.where("rule is not null").select(F.col(day).alias("value"), "rule").unionByName(repeats)
 
 
-def _numbered(spark: SparkSession, path: str) -> list[str]:
-    """Lines of a small published file, in order, by its single partition."""
-    return [r[0].lstrip("﻿") for r in spark.read.text(path, wholetext=False).coalesce(1).collect()]
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(line, at) of a text file, ``at`` rising with the lines."""
+    return spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line"), F.monotonically_increasing_id().alias("at"))
+
+
+def _table(lines: DataFrame, names: tuple[str, ...]) -> tuple[list[str], DataFrame]:
+    """(cells of the first line that starts with one of ``names``, the lines behind it that aren't blank); only that line is collected."""
+    head = lines.where(F.trim(F.substring_index("line", ",", 1)).isin(list(names))).orderBy("at").limit(1).collect()
+    if not head:
+        raise Drift(f"no line starts with {' or '.join(names)}")
+    return [c.strip().strip('"') for c in head[0]["line"].split(",")], lines.where((F.col("at") > head[0]["at"]) & (F.trim("line") != "")).select(F.split("line", ",").alias("cells"))
 
 
 def trends(spark: SparkSession, path: str) -> DataFrame:
+    """``trend_rows`` of an export file."""
+    return trend_rows(numbered(spark, path))
+
+
+def trend_rows(lines: DataFrame) -> DataFrame:
     """(period_start, unit, term, geo, value, below_one) of an export with a preamble, terms as columns ``term: (geo)``."""
-    lines = _numbered(spark, path)
-    at = next((i for i, x in enumerate(lines) if x.split(",")[0] in ("Day", "Week", "Month")), None)
-    if at is None:
-        raise Drift("no Day, Week or Month column")
-    unit, *terms = [c.strip().strip('"') for c in lines[at].split(",")]
-    rows = [x for x in lines[at + 1 :] if x.strip()]
-    if ragged := [x for x in rows if x.count(",") != len(terms)]:
-        raise Drift(f"{len(ragged)} ragged rows")
-    cells = F.split("line", ",")
+    (unit, *terms), rows = _table(lines, ("Day", "Week", "Month"))
+    if ragged := rows.where(F.size("cells") != len(terms) + 1).count():
+        raise Drift(f"{ragged} ragged rows")
     heads = F.array(*[F.struct(F.lit(t).alias("head"), F.lit(i + 1).alias("i")) for i, t in enumerate(terms)])
-    df = spark.createDataFrame([(x,) for x in rows], "line string").select(cells.alias("cells"), F.explode(heads).alias("h"))
+    df = rows.select("cells", F.explode(heads).alias("h"))
     value = F.get("cells", F.col("h.i"))
     start = F.get("cells", F.lit(0))
     return df.select(
@@ -81,21 +95,30 @@ def reconcile_trends(df: DataFrame, terms: list[str], geo: str) -> DataFrame:
 
 
 def metal_prices(spark: SparkSession, path: str, quote: str, tolerance: float = 0.01) -> DataFrame:
-    """(price_date, metal, quote, price): a title line, then day-first dates and a column per metal; blanks are left out."""
-    lines = _numbered(spark, path)
-    at = next((i for i, x in enumerate(lines) if x.split(",")[0].strip() == "Date"), None)
-    if at is None:
-        raise Drift("no Date column")
-    metals = [c.strip().lower() for c in lines[at].split(",")[1:]]
-    cells = F.split("line", ",")
-    df = spark.createDataFrame([(x,) for x in lines[at + 1 :] if x.strip()], "line string").select(F.try_to_timestamp(F.trim(F.get(cells, F.lit(0))), F.lit("dd/MM/yyyy")).cast("date").alias("price_date"), cells.alias("cells"))
+    """``metal_rows`` of a published file."""
+    return metal_rows(numbered(spark, path), quote, tolerance)
+
+
+def metal_rows(lines: DataFrame, quote: str, tolerance: float = 0.01) -> DataFrame:
+    """(price_date, metal, price, quote): a title line, then day-first dates and a column per metal; blanks are left out.
+
+    More than ``tolerance`` of unreadable dates is an error; fewer are left out.
+    """
+    (_, *metals), rows = _table(lines, ("Date",))
+    df = rows.select(F.try_to_timestamp(F.trim(F.get("cells", F.lit(0))), F.lit("dd/MM/yyyy")).cast("date").alias("price_date"), "cells")
     bad, n = df.agg(F.count_if(F.col("price_date").isNull()), F.count(F.lit(1))).first()
     if bad > tolerance * n:
         raise Drift(f"{bad} of {n} dates can't be read")
-    values = F.array(*[F.struct(F.lit(m).alias("metal"), X.plain_number(F.get("cells", F.lit(i + 1))).alias("price")) for i, m in enumerate(metals)])
+    values = F.array(*[F.struct(F.lit(m.lower()).alias("metal"), X.plain_number(F.get("cells", F.lit(i + 1))).alias("price")) for i, m in enumerate(metals)])
     return df.where("price_date is not null").select("price_date", F.inline(values)).where("price is not null").withColumn("quote", F.lit(quote))
 
 
+def sheet_rows(rows: DataFrame, day: str, measures: list[str]) -> DataFrame:
+    """Rows of a landed sheet (all strings) with a day and at least one measure that is a number; the rest are left out."""
+    typed = rows.select(F.col(day).try_cast("date").alias(day), *[X.plain_number(F.col(f"`{m}`")).alias(m) for m in measures])
+    return typed.where(F.col(day).isNotNull() & F.coalesce(*[F.col(f"`{m}`") for m in measures]).isNotNull())
+
+
 SETTLEMENTS = "tradeDate string, reportType string, empty boolean, settlements array<struct<month:string,settle:string>>"
 VOLUMES = "tradeDate string, empty boolean, totals struct<totalVolume:string,atClose:string,change:string>, monthData array<struct<month:string,totalVolume:string,atClose:string,change:string>>"
 #: Contract month of a report's totals (fixed value).
