@@ -73,34 +73,54 @@ def diebold_mariano(df: DataFrame, loss_a: str, loss_b: str, keys: list[str], la
 
 
 def ols(df: DataFrame, y: str, xs: list[str], order: str = "ts", key: str | None = None, lags: int = 0, least: int = 30) -> list[dict]:
-    """Least squares with an intercept and Newey-West deviations; one dict per term, nulls below ``least`` rows.
+    """Least squares with an intercept and Newey-West deviations; one dict per term, nulls below ``least`` rows."""
+    return ols_many(df, [y], xs, order, key, [lags], least)[0]
 
-    Cross products are summed in one pass, the scores' lagged products in a second; lags stay within ``key``.
+
+def ols_many(df: DataFrame, ys: list[str], xs: list[str], order: str = "ts", key: str | None = None, lags: list[int] | None = None, least: int = 30) -> list[list[dict]]:
+    """``ols`` of each of ``ys`` on its own rows without nulls, with its own number of lags.
+
+    Cross products of all targets are summed in one pass, the scores' lagged products in a second; lags stay within ``key``.
     """
-    rows = df.select(F.col(key or y).alias("__k") if key else F.lit(0).alias("__k"), F.col(order).alias("__o"), F.col(y).cast("double").alias("__y"), F.lit(1.0).alias("x0"), *[F.col(x).cast("double").alias(f"x{i + 1}") for i, x in enumerate(xs)])
-    rows = rows.dropna()
-    k = len(xs) + 1
-    names = ["intercept", *xs]
+    lags = lags or [0] * len(ys)
+    each = F.inline(F.array(*[F.struct(F.lit(h).alias("h"), F.col(y).cast("double").alias("y")) for h, y in enumerate(ys)]))
+    rows = df.select((F.col(key) if key else F.lit(0)).alias("key"), F.col(order).alias("at"), F.lit(1.0).alias("x0"), *[F.col(x).cast("double").alias(f"x{i + 1}") for i, x in enumerate(xs)], each).dropna()
+    k, names = len(xs) + 1, ["intercept", *xs]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs], *[F.sum(F.col(f"x{i}") * F.col("__y")).alias(f"t{i}") for i in range(k)]).first()
-    if sums["n"] < least:
-        return [{"term": t, "n": sums["n"], "estimate": None, "std_error": None} for t in names]
-    xx = np.zeros((k, k))
-    for i, j in pairs:
-        xx[i, j] = xx[j, i] = sums[f"s{i}_{j}"]
-    inverse = np.linalg.pinv(xx)
-    beta = inverse @ np.array([sums[f"t{i}"] for i in range(k)])
-    error = F.col("__y") - sum((F.col(f"x{i}") * float(b) for i, b in enumerate(beta)), F.lit(0.0))
-    scored = rows.select("__k", "__o", *[(F.col(f"x{i}") * error).alias(f"u{i}") for i in range(k)])
-    by = Window.partitionBy("__k").orderBy("__o")
-    products = scored.select(*[(F.col(f"u{i}") * (F.lag(f"u{j}", lag).over(by) if lag else F.col(f"u{j}"))).alias(f"p{lag}_{i}_{j}") for lag in range(lags + 1) for i in range(k) for j in range(k)])
-    total = products.agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in products.columns]).first()
-    meat = np.zeros((k, k))
-    for lag in range(lags + 1):
-        g = np.array([[total[f"p{lag}_{i}_{j}"] for j in range(k)] for i in range(k)])
-        meat += g if not lag else (1 - lag / (lags + 1)) * (g + g.T)
-    se = np.sqrt(np.maximum(0, np.diag(inverse @ meat @ inverse)))
-    return [{"term": t, "n": sums["n"], "estimate": float(b), "std_error": float(s)} for t, b, s in zip(names, beta, se, strict=True)]
+    got = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i, j in pairs], *[F.sum(F.col(f"x{i}") * F.col("y")).alias(f"t{i}") for i in range(k)]).collect()
+    sums = {r["h"]: r for r in got}
+    fits = {}
+    for h, r in sums.items():
+        if r["n"] >= least:
+            xx = np.zeros((k, k))
+            for i, j in pairs:
+                xx[i, j] = xx[j, i] = r[f"s{i}_{j}"]
+            inverse = np.linalg.pinv(xx)
+            fits[h] = inverse, inverse @ np.array([r[f"t{i}"] for i in range(k)])
+    none = lambda h: [{"term": t, "n": sums[h]["n"] if h in sums else 0, "estimate": None, "std_error": None} for t in names]
+    if not fits:
+        return [none(h) for h in range(len(ys))]
+    table = F.array(*[F.array(*[F.lit(float(b)) for b in (fits[h][1] if h in fits else np.zeros(k))]) for h in range(len(ys))])
+    beta = F.get(table, "h")
+    error = F.col("y") - sum((F.col(f"x{i}") * F.get(beta, F.lit(i)) for i in range(k)), F.lit(0.0))
+    scored = rows.where(F.col("h").isin(list(fits))).select("h", "key", "at", error.alias("e"), *[f"x{i}" for i in range(k)]).select("h", "key", "at", *[(F.col(f"x{i}") * F.col("e")).alias(f"u{i}") for i in range(k)])
+    by = Window.partitionBy("h", "key").orderBy("at")
+    most = max(lags[h] for h in fits)
+    products = scored.select("h", *[(F.col(f"u{i}") * (F.lag(f"u{j}", lag).over(by) if lag else F.col(f"u{j}"))).alias(f"p{lag}_{i}_{j}") for lag in range(most + 1) for i in range(k) for j in range(k)])
+    total = {r["h"]: r for r in products.groupBy("h").agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in products.columns[1:]]).collect()}
+    out = []
+    for h in range(len(ys)):
+        if h not in fits:
+            out.append(none(h))
+            continue
+        inverse, b = fits[h]
+        meat = np.zeros((k, k))
+        for lag in range(lags[h] + 1):
+            g = np.array([[total[h][f"p{lag}_{i}_{j}"] for j in range(k)] for i in range(k)])
+            meat += g if not lag else (1 - lag / (lags[h] + 1)) * (g + g.T)
+        se = np.sqrt(np.maximum(0, np.diag(inverse @ meat @ inverse)))
+        out.append([{"term": t, "n": sums[h]["n"], "estimate": float(x), "std_error": float(e)} for t, x, e in zip(names, b, se, strict=True)])
+    return out
 
 
 TERMS = "term string, n long, estimate double, std_error double"
@@ -108,7 +128,8 @@ TERMS = "term string, n long, estimate double, std_error double"
 
 def local_projection(df: DataFrame, treated: str, controls: list[str], targets: dict[int, str], order: str = "ts", key: str | None = None) -> DataFrame:
     """One row per horizon: the treatment's effect on that horizon's target, HAC with as many lags, and its 95 % band."""
-    rows = [(h, r["n"], r["estimate"], r["std_error"]) for h, y in targets.items() for r in ols(df, y, [treated, *controls], order, key, lags=h) if r["term"] == treated]
+    found = ols_many(df, list(targets.values()), [treated, *controls], order, key, list(targets))
+    rows = [(h, r["n"], r["estimate"], r["std_error"]) for h, fit in zip(targets, found, strict=True) for r in fit if r["term"] == treated]
     out = df.sparkSession.createDataFrame(rows, "horizon int, n long, estimate double, std_error double")
     return out.withColumns({"low": F.col("estimate") - 1.96 * F.col("std_error"), "high": F.col("estimate") + 1.96 * F.col("std_error")})
 
@@ -118,7 +139,7 @@ def var_ols(df: DataFrame, series: list[str], p: int, order: str = "ts", key: st
     by = Window.partitionBy(key or F.lit(0)).orderBy(order)
     lagged = df.withColumns({f"{s}_l{k}": F.lag(s, k).over(by) for s in series for k in range(1, p + 1)})
     terms = [f"{s}_l{k}" for k in range(1, p + 1) for s in series]
-    rows = [(s, r["term"], r["n"], r["estimate"], r["std_error"]) for s in series for r in ols(lagged, s, terms, order, key)]
+    rows = [(s, r["term"], r["n"], r["estimate"], r["std_error"]) for s, fit in zip(series, ols_many(lagged, series, terms, order, key), strict=True) for r in fit]
     return df.sparkSession.createDataFrame(rows, f"equation string, {TERMS}")
 
 
@@ -129,7 +150,7 @@ def var_order(df: DataFrame, series: list[str], most: int, order: str = "ts") ->
     best, chosen = np.inf, 1
     for p in range(1, most + 1):
         terms = [f"{s}_l{k}" for k in range(1, p + 1) for s in series]
-        fits = {s: ols(lagged, s, terms, order) for s in series}
+        fits = dict(zip(series, ols_many(lagged, series, terms, order), strict=True))
         n = fits[series[0]][0]["n"]
         if fits[series[0]][0]["estimate"] is None:
             break
