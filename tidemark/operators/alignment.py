@@ -126,6 +126,7 @@ def walk_forward(days: DataFrame, train_months: int, val_months: int, test_month
     starts = ends.where(F.add_months("lo", train_months) <= F.col("hi")).select("lo", "hi", F.explode(F.expr(f"sequence(add_months(lo, {train_months}), hi, interval {step_months} month)")).alias("train_end"))
     bounds = starts.select("lo", "train_end", F.add_months("train_end", val_months).alias("val_end"), F.add_months("train_end", val_months + test_months).alias("test_end"), "hi").where("test_end <= hi")
     part = lambda a, b: F.sum(F.when((F.col("ts") >= F.col(a)) & (F.col("ts") < F.col(b)), 1).otherwise(0)).cast("long")
+    # a row a split: some dozens in a century
     counted = days.join(F.broadcast(bounds), F.col("ts") < F.col("test_end")).groupBy("train_end", "val_end", "test_end").agg(part("lo", "train_end").alias("n_train"), part("train_end", "val_end").alias("n_val"), part("val_end", "test_end").alias("n_test"))
     full = counted.where("n_train > 0 and n_val > 0 and n_test > 0")
     return full.withColumn("split_id", F.row_number().over(Window.orderBy("train_end")) - 1)

@@ -53,7 +53,9 @@ def doubly_robust_ate(df: DataFrame, y: str, treated: str, xs: list[str], key: s
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
-    return whole.agg(F.count(F.lit(1)).alias("n"), F.sum("t").cast("long").alias("n_treated"), F.avg("psi").alias("effect"), (F.stddev_samp("psi") / F.sqrt(F.count(F.lit(1)))).alias("std_error"))
+    got = whole.agg(F.count(F.lit(1)), F.sum("t").cast("long"), F.avg("psi"), F.stddev_samp("psi") / F.sqrt(F.count(F.lit(1)))).first()
+    rows.unpersist()
+    return df.sparkSession.createDataFrame([tuple(got)], schema)
 
 
 def row_effects(df: DataFrame, y: str, treated: str, xs: list[str]) -> DataFrame:
@@ -77,6 +79,7 @@ def placebo(df: DataFrame, y: str, treated: str, key: str, order: str = "ts", sh
     both = moved.join(rows.select(key, "at", y), [key, "at"])
     diffs = both.groupBy("shift").agg((F.avg(F.when(F.col("t") == 1, F.col(y))) - F.avg(F.when(F.col("t") == 0, F.col(y)))).alias("d")).where("d is not null")
     real = diffs.where("shift = 0").select(F.col("d").alias("effect"))
+    # ``real`` is one row
     return diffs.where("shift <> 0").join(F.broadcast(real)).agg(F.max("effect").alias("effect"), ((F.count_if(F.abs("d") >= F.abs("effect")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"), F.count(F.lit(1)).alias("n_shifts"))
 
 

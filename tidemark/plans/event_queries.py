@@ -222,6 +222,7 @@ PREFIX = "ts < DATE '1999-01-01'"
 def train_impute(spark, d):
     """Gaps on the calendar filled by the training prefix's mean, or zero where that has no value."""
     cal, m = T.calendar(spark, d), T.macro(spark, d)
+    # the names of series, five here; every series on every day is what is asked for
     grid = cal.join(F.broadcast(m.select("series_id").distinct())).join(m, ["ts", "series_id"], "left")
     means = grid.groupBy("series_id").agg(F.avg(F.when(F.expr(PREFIX), F.col("value"))).alias("v"))
     return rounded(grid.join(means, "series_id").select("ts", "series_id", F.coalesce("value", "v", F.lit(0.0)).alias("value")))

@@ -47,6 +47,7 @@ def load_vectors(spark, d):
 @query(ctes("asg") + "SELECT ts, ticker, coalesce(l.name, 'noise') AS regime FROM asg LEFT JOIN (VALUES (0, 'calm'), (1, 'rising'), (2, 'falling'), (3, 'stress')) l(id, name) ON cluster_id = l.id")
 def load_regimes(spark, d):
     names = spark.createDataFrame([(0, "calm"), (1, "rising"), (2, "falling"), (3, "stress")], "cluster_id int, name string")
+    # four names
     return T.clusters(spark, d).join(F.broadcast(names), "cluster_id", "left").select("ts", "ticker", F.coalesce("name", F.lit("noise")).alias("regime"))
 
 

@@ -56,6 +56,7 @@ def text_lag_context(spark, d):
     news = T.news(spark, d)
     state = N.daily_text_state(news, METALS)
     days = news.select("day").where(F.weekday("day") < 5).distinct()
+    # days: one row a trading day; every metal on every day is what is asked for
     grid = state.select("metal").distinct().join(F.broadcast(days)).join(state, ["day", "metal"], "left")
     by = w.over("metal", "day")
     return rounded(grid.select("day", "metal", F.lag(F.coalesce("n_articles", F.lit(0).cast("long"))).over(by).alias("n_lag"), F.lag("mean_tone").over(by).alias("tone_lag")))

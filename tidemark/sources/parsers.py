@@ -168,6 +168,7 @@ def consensus(payloads: DataFrame, titles: dict[str, tuple[str, str]], pulled_at
     """US rows of the listed titles: UTC release time, forecast and previous by unit, whether pulled before release, violations."""
     rows = payloads.select(*keep, F.inline(F.from_json(column, CALENDAR))).where("country = 'USD'")
     names = rows.sparkSession.createDataFrame([(t, f, u) for t, (f, u) in titles.items()], "title string, field string, unit string")
+    # ``names`` is the listed titles, a dozen
     rows = rows.join(F.broadcast(names), "title").withColumn("release_utc", F.to_utc_timestamp(F.to_timestamp("date", "yyyy-MM-dd'T'HH:mm:ssXXX"), F.current_timezone()).cast("timestamp_ntz"))
     forecast, bad = X.suffixed_number(F.col("forecast"), F.col("unit"))
     previous, worse = X.suffixed_number(F.col("previous"), F.col("unit"))
