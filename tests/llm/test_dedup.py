@@ -54,7 +54,7 @@ def test_simhash_matches_all_pairs(spark, monkeypatch, one_block, most):
     monkeypatch.setattr(simhash, "ONE_BLOCK", one_block)
     monkeypatch.setattr(simhash, "HOMES", min(most, simhash.HOMES))
     monkeypatch.setattr(simhash, "NEAR", most)
-    rows = corpus()
+    rows = [*corpus(), (401, " ".join(f"w{(k * k) % 4001}" for k in range(30_000)))]
     fps = [bits(t) for _, t in rows]
     root = list(range(len(rows)))
 

@@ -33,7 +33,7 @@ def test_pieces_equal_the_library(spark):
 
 def test_warc_round_trip(spark):
     big = "<p>ü</p>" * 200
-    rows = [(1, "http://a/", big), (2, "http://b/ü ", big), (9, None, big), (3, "http://c/", "small"), (4, "http://c/", "small"), (5, "x", None), (6, "y", ""), (None, "z", big), (7, "u", "WARC/1.1\r\n\r\n" * 100), (9, "again", big)]
+    rows = [(1, "http://a/", big), (2, "http://b/ü ", big), (9, None, big), (3, "http://c/", "small"), (4, "http://c/", "small"), (5, "x", None), (6, "y", ""), (None, "z", big), (7, "u", "WARC/1.1\r\n\r\n" * 100), (9, "again", big), (8, "long", "<p>long</p>" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("id", "kind", "sha", "top")})
     got = sorted(((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, bytes(r.payload) if r.payload is not None else None) for r in warc.round_trip(pages, payloads=True).collect()), key=str)
     want = []

@@ -114,11 +114,11 @@ def test_factorisation_machine_identity_and_accuracy(spark):
 
     good = [(i, t.capitalize() + ".", "s") for i, t in enumerate(texts(2, 120))]
     bad = [(1000 + i, t.upper().replace(" ", "!! "), "s") for i, t in enumerate(texts(3, 120))]
-    docs = frame(spark, [*good, *bad, (7777, None, None), (7778, "", "s"), (None, "the noun1", "s")])
+    docs = frame(spark, [*good, *bad, (7777, None, None), (7778, "", "s"), (None, "the noun1", "s"), (7779, "the noun1 " * 40_000, "s")])
     labels = spark.createDataFrame([(i, int(i < 1000)) for i, _, _ in good + bad] + [(None, 1), (3, None)], "doc_id long, quality int")
     machine = quality_model.train(docs, labels.where(crc_bucket("doc_id", 5) != 0))
     got = quality_model.score(docs, machine).collect()
-    assert len(got) == 243 and all(0 <= r.score <= 1 for r in got)
+    assert len(got) == 244 and all(0 <= r.score <= 1 for r in got)
     held = [r for r in got if r.doc_id is not None and r.doc_id < 2000 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert sum((r.score >= 0.3) == (r.doc_id < 1000) for r in held) > 0.95 * len(held)
     kept = quality_model.keep_good(docs, machine)
