@@ -50,6 +50,15 @@ def build_context(prices: DataFrame, ticker: str, macro: DataFrame, series: list
     return rows.select(*made, *[x.alias(c) for c, x in out.items()])
 
 
+def one_hot(df: DataFrame, column: str, train, prefix: str, most: int = 100) -> DataFrame:
+    """``df`` with a 0/1 column for each value that training rows have, in order, ``most`` at most; a value they lack is zero
+    everywhere. More values are an error, not a cut."""
+    found = df.where(train).select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return df.withColumns({f"{prefix}{r[0]}": (F.coalesce(F.col(column) == F.lit(r[0]), F.lit(False))).cast("double") for r in found})
+
+
 def feature_columns(columns: list[str], kind: str, ticker: str, marks: tuple[str, ...] = ("_ret_", "_rvol_", "_skew_", "_kurt_", "_mdd_")) -> list[str]:
     """``full``: all; ``lean``: without returns and volatilities (names that hold a mark); ``lean_own``: without other tickers'."""
     if kind not in ("full", "lean", "lean_own"):

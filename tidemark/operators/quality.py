@@ -77,3 +77,29 @@ def repeated_keys(df: DataFrame, keys: list[str], line: str) -> DataFrame:
 def relative_check(measured: Column, stated: Column, warn: float = 0.01, reject: float = 0.05) -> Column:
     error = F.round(F.abs(F.try_divide(measured, F.nullif(stated, F.lit(0.0))) - 1), 9)  # an error of exactly a limit is within it
     return F.when(error.isNull() | (error > reject), "reject").when(error > warn, "warn").otherwise("ok")
+
+
+def cell_report(rows: DataFrame, line: str, cells: dict[str, tuple]) -> DataFrame:
+    """(line, column, rule, severity) of all-string rows: what keeps a ledger out, and what is only odd.
+
+    ``cells`` maps a column to (type, required, lowest, highest, odd above): limits are literals of that type or None. A
+    blank cell breaks only ``required``; a cell that isn't of its type is judged no further. Any violation refuses the
+    whole ledger (``accept_all_or_none``), warnings don't.
+    """
+    found = []
+    for name, (kind, required, low, high, odd) in cells.items():
+        text = F.trim(F.coalesce(F.col(f"`{name}`"), F.lit("")))
+        value = text.try_cast(kind)
+        limit = lambda x, kind=kind: F.lit(x).cast(kind)
+        rule = F.when(text == "", F.lit("required" if required else None)).when(value.isNull(), f"not a {kind}")
+        rule = rule.when(value < limit(low), "too low") if low is not None else rule
+        rule = rule.when(value > limit(high), "too high") if high is not None else rule
+        found.append(F.when(rule.isNotNull(), F.struct(F.lit(name).alias("column"), rule.alias("rule"), F.lit("violation").alias("severity"))))
+        if odd is not None:
+            found.append(F.when(rule.isNull() & (value > limit(odd)), F.struct(F.lit(name).alias("column"), F.lit("unusually high").alias("rule"), F.lit("warning").alias("severity"))))
+    return rows.select(F.col(line).alias("line"), F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+
+
+def outliers(df: DataFrame, value: str, key: str, n: int = 252, least: int = 60, bar: float = 6.0) -> DataFrame:
+    """Rows whose trailing z-score, rounded to 5 places, lies beyond ``bar`` either way, with it as ``z``."""
+    return df.withColumn("z", F.round(w.zscore(F.col(value), key, n, least), 5)).where(F.abs("z") > bar)

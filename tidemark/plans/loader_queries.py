@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import context as K
 from tidemark.operators import annotation as N
 from tidemark.operators import returns as R
 from tidemark.operators import selection as S
@@ -80,11 +81,24 @@ def pivot_runs(spark, d):
     return rounded(p.groupBy("ticker").pivot("run_id", ["walk", "flat"]).agg(F.sqrt(F.avg("e2"))))
 
 
-@query(ctes("asg") + "SELECT ts, ticker, " + ", ".join(f"(cluster_id = {k})::int::double AS c_{k}" for k in (0, 2)) + " FROM asg")
+@query(ctes("asg") + "SELECT ts, ticker, " + ", ".join(f"(isodow(ts) = {k + 1})::int::double AS d_{k}" for k in range(3)) + " FROM asg")
 def one_hot(spark, d):
-    """Dummies of the clusters that the training part knows."""
-    a = T.clusters(spark, d)
-    return a.select("ts", "ticker", *[(F.col("cluster_id") == k).cast("double").alias(f"c_{k}") for k in (0, 2)])
+    """Dummies of the weekdays that the training part, Monday to Wednesday, knows; other days have none."""
+    a = T.clusters(spark, d).select("ts", "ticker", F.weekday("ts").alias("day"))
+    return K.one_hot(a, "day", F.col("day") < 3, "d_").drop("day")
+
+
+@query("SELECT o_custkey AS cluster_id, o_orderkey AS label_id, o_orderstatus AS label FROM orders WHERE o_orderpriority = '1-URGENT'")
+def load_labels(spark, d):
+    """The labels of one model version (priorities stand for versions), in order of cluster."""
+    rows = T.read(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return rows.select(F.col("o_custkey").alias("cluster_id"), F.col("o_orderkey").alias("label_id"), F.col("o_orderstatus").alias("label")).orderBy("cluster_id", "label_id")
+
+
+@query("SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS raw_title FROM pages WHERE regexp_matches(html, '(?is)<title>')")
+def narrow_titles(spark, d):
+    """The narrow scan: one expression over the markup instead of the whole column."""
+    return T.read(spark, d, "pages").where(F.col("html").rlike("(?is)<title>")).select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("raw_title"))
 
 
 @query(ctes("px", "mx") + "SELECT ts, ticker, close FROM px WHERE ts IN (SELECT ts FROM mx WHERE series_id = '1-URGENT')")

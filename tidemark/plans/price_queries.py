@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as w
+from tidemark.operators import quality as Q
 from tidemark.operators import returns as R
 from tidemark.sources import tables as T
 from tidemark.sources.tables import ctes
@@ -155,5 +156,4 @@ def premium_over_melt(spark, d):
     )
 )
 def outlier_returns(spark, d):
-    r = R.daily(T.prices(spark, d)).withColumn("z", F.round(w.zscore(F.col("r"), "ticker", 252, 60), 5))
-    return r.where("abs(z) > 3").select("ts", "ticker", F.round("r", 6).alias("r"), "z")
+    return Q.outliers(R.daily(T.prices(spark, d)), "r", "ticker", bar=3.0).select("ts", "ticker", F.round("r", 6).alias("r"), "z")

@@ -113,6 +113,22 @@ def ledger_violations(spark, d):
     return Q.violations(T.lots(spark, d).withColumn("line_no", F.col("lot_id") * 10 + F.col("line")), "line_no", ledger_rules())
 
 
+@query(
+    """WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_linenumber AS k, l_quantity AS q, l_shipdate::date AS s, l_discount AS d FROM lineitem)
+    SELECT line, 'weight' AS "column", 'not a double' AS rule, 'violation' AS severity FROM c WHERE k = 1 UNION ALL SELECT line, 'weight', 'too high', 'violation' FROM c WHERE k <> 1 AND q > 45
+    UNION ALL SELECT line, 'weight', 'unusually high', 'warning' FROM c WHERE k <> 1 AND q > 40 AND q <= 45 UNION ALL SELECT line, 'day', 'required', 'violation' FROM c WHERE k = 2 UNION ALL SELECT line, 'day', 'too high', 'violation' FROM c WHERE k <> 2 AND s > DATE '1998-06-01'
+    UNION ALL SELECT line, 'note', 'unusually high', 'warning' FROM c WHERE k <> 3 AND d > 0.08"""
+)
+def ledger_cells(spark, d):
+    """Cells of an export as strings: malformed, missing, out of range and odd ones by line."""
+    li, k = T.read(spark, d, "lineitem"), F.col("l_linenumber")
+    rows = li.select(
+        (F.col("l_orderkey") * 10 + k).alias("n"), F.when(k == 1, "heavy").otherwise(F.col("l_quantity").cast("string")).alias("weight"),
+        F.when(k != 2, F.date_format("l_shipdate", "yyyy-MM-dd")).alias("day"), F.when(k != 3, F.col("l_discount").cast("string")).otherwise(" ").alias("note"),
+    )
+    return Q.cell_report(rows, "n", {"weight": ("double", True, 0, 45, 40), "day": ("date", True, "1990-01-01", "1998-06-01", None), "note": ("double", False, None, None, 0.08)})
+
+
 @query(ctes("lots") + "SELECT CASE WHEN e > 0.05 THEN 'reject' WHEN e > 0.01 THEN 'warn' ELSE 'ok' END AS verdict, count(*) AS n FROM (SELECT round(abs(weight * (1 + (lot_id % 9) / 100.0) / weight - 1), 9) AS e FROM lots) GROUP BY 1")
 def assay_check(spark, d):
     """Weights off by 0 to 8 per cent; an error of exactly a limit is within it."""
