@@ -76,6 +76,27 @@ def test_simhash_matches_all_pairs(spark, monkeypatch, one_block, most):
     assert got == want
 
 
+@pytest.mark.parametrize("one_block", [1 << 24, 0])
+def test_simhash_grid_keeps_every_link(spark, monkeypatch, one_block):
+    """Pairs 3 bits apart, alone in their anchor's part but for each other: a grid deals their ends to different columns."""
+    monkeypatch.setattr(simhash, "HOMES", 2)
+    monkeypatch.setattr(simhash, "NEAR", 4)
+    rnd = random.Random(5)
+    # one anchor for all, as they differ in the bits that no block reads
+    base = [rnd.getrandbits(16) << 47 for _ in range(60)]
+    fps = sorted({f for x in base for f in (x, x ^ 1 ^ 1 << rnd.randrange(1, 46) ^ 1 << 46)})
+    distinct = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(7)
+    root = dict(connected_components(simhash.links(distinct, 1 if one_block else 2), "a", "b").collect())
+    name = lambda f: root.get(f, f)
+    want = {f: f for f in fps}
+    for _ in fps:
+        near = {f: min(want[g] for g in fps if (f ^ g).bit_count() <= 3) for f in fps}
+        if near == want:
+            break
+        want = near
+    assert {f: name(f) for f in fps} == want
+
+
 def test_simhash_empty(spark):
     assert simhash.simhash_groups(frame(spark, [])).count() == 0
     assert simhash.drop_near_copies(frame(spark, [(2, "a b c d"), (1, "a b c d"), (3, None)])).orderBy("doc_id").select("doc_id").collect() == [(1,), (3,)]

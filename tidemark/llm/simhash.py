@@ -7,7 +7,8 @@ homes are compared with replicas per anchor. Beyond ``ONE_BLOCK`` distinct finge
 of the product of two such codes on 46 bits, where the bits beyond 3 in the two blocks may sum to 3; the links found
 are the same. Copies of one fingerprint are a single fingerprint here, so groups of copies cost nothing. An anchor of
 many fingerprints is cut in a grid of parts, ``HOMES`` homes by ``NEAR`` replicas, each a group of its own: every home
-still meets every replica, and the components of all parts' links are those of the whole.
+still meets every replica and is linked to it in that part, wherever the home's own replica lies, so the components of
+all parts' links are those of the whole.
 """
 
 from __future__ import annotations
@@ -163,10 +164,12 @@ def replicas(distinct: DataFrame, blocks: int) -> DataFrame:
 
 
 def forest(homes: np.ndarray, near: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, root) that join what is linked between homes and replicas: one per linked replica, not one per pair."""
+    """Links (a, root) that join what is linked between homes and replicas: one per linked replica, not one per pair.
+
+    A home's own replica may be in another part of a grid, so homes are put among the replicas: a home joins all it meets.
+    """
+    near = np.unique(np.concatenate((homes, near)))
     label = np.arange(len(near))
-    order = np.argsort(near)
-    near = near[order]
     for h in homes:
         hit = np.flatnonzero(np.bitwise_count(near ^ h) <= threshold)
         if len(hit) > 1:
