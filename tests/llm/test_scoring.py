@@ -79,6 +79,28 @@ def test_language_model_scores_equal_the_definition(spark):
     assert np.allclose(tails, 1 + np.bincount([c for c, _ in inside], [n for _, n in inside], scorer.v.classes))
 
 
+def test_language_model_learns_from_every_position(spark, monkeypatch):
+    """A corpus of many more tokens than ``LEAST`` and ``FITTED`` ask for is fitted whole, each text's last place too."""
+    monkeypatch.setattr(language_model, "LEAST", 50)
+    rows = [(i, t, "s") for i, t in enumerate(texts(4, 200))] + [(300, "noun1 " * 40_000, "s"), (301, None, "s")]
+    docs, learn = frame(spark, rows).select("text").coalesce(1), language_model.Net.learn
+    tokens = sum(len((t or "").split()) + 1 for _, t, _ in rows)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(self, positions, rng, rate):
+        seen.add(len(positions))
+        learn(self, positions, rng, rate)
+
+    monkeypatch.setattr(language_model, "Net", type("Net", (language_model.Net,), {"learn": counted}))
+    names, n = language_model.frequent(language_model.token_counts(docs))
+    language_model.fit(docs, language_model.vocabulary(names, n, language_model.np.ones(5)), tokens, len(names))
+    assert seen.value == tokens
+    leaves = language_model._Leaves(language_model.vocabulary([b" ", b"a", b"b"], [1, 2, 3], language_model.np.ones(1)))
+    a, b, end = (leaves[x] for x in (b"a", b"b", b" "))
+    first = leaves.back[0]
+    assert [r.tolist() for p in language_model._positions(b"A b", leaves, 2) for r in p] == [[a, first, first, first], [b, a, first, first], [end, b, a, first]]
+
+
 def test_language_model_blocks_average_by_weight():
     a = language_model.pack(np.array([1, 5]), np.array([1.0, 2.0]), np.array([[2.0, 0.0], [1.0, 1.0]]))
     b = language_model.pack(np.array([5]), np.array([6.0]), np.array([[5.0, -3.0]]))

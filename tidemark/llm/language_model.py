@@ -9,8 +9,8 @@ whose number grows as the root of the vocabulary. Vectors of a token are its own
 others a token has probability (c + 1) / sum(c + 1), c being its count, with one share for unseen tokens, so that the
 probabilities of all tokens sum to one and every token's depends on its context.
 
-Counts cover every training token. Positions fitted grow with the corpus: ``FITTED`` times its distinct tokens and
-``LEAST`` at least, dealt evenly over all training texts; a corpus that has fewer is gone over up to ``PASSES`` times. Each of several trainers fits a copy on its share of them:
+Counts cover every training token, and so does the fit: every position of every training text is learnt from, and a
+corpus of fewer than ``LEAST`` or ``FITTED`` times its distinct tokens is gone over up to ``PASSES`` times. Each of several trainers fits a copy on its share of them:
 at every level of the tree the true child is told from ``NOISE`` children drawn evenly from its node, by the logistic of the
 score less log(noise / children). What trainers changed is averaged row by row, weighted by how far each moved, in
 blocks of rows and two rounds, so that no task holds more than some trainers' blocks.
@@ -40,8 +40,8 @@ from .common import byte_texts, cut, slices
 OWN = 1 << 18
 BACK, FAN, DIMENSION, NOISE = 3, 64, 16, 3
 FITTED, LEAST, PASSES = 2, 100_000, 8
-#: Positions of one trainer, of one step of its, and tokens scored at once.
-SHARE, STEP, BLOCK = 500_000, 2048, 1 << 17
+#: Positions of one trainer (about: as many as make its copy worth sending), of one step of its, and tokens scored at once.
+SHARE, STEP, BLOCK = 4_000_000, 2048, 1 << 17
 RATE = 0.1
 ROWS, SALTS = 4096, 16
 FLUSH = 400_000
@@ -147,45 +147,54 @@ class Net:
         self.w = [x.astype(np.float32) for x in start] + [np.column_stack((np.zeros((len(b), d), np.float32), b)) for b in v.bias]
         self.moved = [np.zeros(len(x), np.float32) for x in self.w]  # sums of squared gradients, by row
 
-    def _step(self, table: int, rows: np.ndarray, slopes: np.ndarray, rate: float) -> None:
-        """AdaGrad, one rate a row; slopes of a row that repeats are summed."""
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
+    def _step(self, table: int, rows: np.ndarray, vectors: np.ndarray, rate: float, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """AdaGrad, one rate a row; slopes of a row that repeats are summed. Returns the distinct rows and those sums.
+
+        Slopes are ``vectors``, or with ``scale`` (a row for each vector, a column for each of its ``rows``) their multiples.
+        """
+        order = np.argsort(rows)
+        slopes = vectors.take(order if scale is None else order // scale.shape[1], axis=0)
+        if scale is not None:
+            slopes *= scale.ravel().take(order)[:, None]
+        rows = rows.take(order)
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        total, rows = np.add.reduceat(slopes[order], first, axis=0), rows[first]
-        self.moved[table][rows] += (total * total).mean(1)
-        self.w[table][rows] -= rate * total / np.sqrt(self.moved[table][rows] + 0.01)[:, None]
+        total, rows = np.add.reduceat(slopes, first, axis=0), rows.take(first)
+        moved = self.moved[table].take(rows) + np.einsum("rd,rd->r", total, total) / np.float32(total.shape[1])
+        self.moved[table][rows] = moved
+        self.w[table][rows] = self.w[table].take(rows, axis=0) - total * (np.float32(rate) / np.sqrt(moved + np.float32(0.01)))[:, None]
+        return rows, total
 
     def learn(self, positions: np.ndarray, rng, rate: float) -> None:
         """One step on positions given as rows: the leaf to predict, then those before it, nearest first."""
         r, rc, p, qc, *levels = self.w
-        before = [positions[:, 1 + j] for j in range(BACK)]
-        given = [r[x] + rc[self.v.kind[x]] for x in before]
+        positions = positions.take(np.argsort(positions[:, 0]), axis=0)  # rows of a node are near each other
+        kind, target = self.v.kind, positions[:, 0].astype(np.int64)
+        before = [positions[:, 1 + j].astype(np.int64) for j in range(BACK)]
+        given = [r.take(x, axis=0) + rc.take(kind.take(x), axis=0) for x in before]
         h = sum(e * p[j] for j, e in enumerate(given))
         back, one = np.zeros_like(h), np.column_stack((h, np.ones(len(h), np.float32)))
         d = DIMENSION
         for k, q in enumerate(levels):
             leaves = k == self.depth - 1
-            child = positions[:, 0] // FAN ** (self.depth - 1 - k)
+            child = target // FAN ** (self.depth - 1 - k)
             first = child // FAN * FAN if k else np.zeros_like(child)
             size = np.minimum(len(q) - first, FAN if k else len(q))
-            noise = first[:, None] + (rng.random((len(h), NOISE)) * size[:, None]).astype(np.int64)
-            rows = np.column_stack((child, noise))
-            vectors = q[rows]
+            rows = np.empty((len(h), 1 + NOISE), np.int64)
+            rows[:, 0] = child
+            rows[:, 1:] = first[:, None] + (rng.random((len(h), NOISE)) * size[:, None]).astype(np.int64)
+            vectors = q.take(rows, axis=0)
             if leaves:
-                vectors[:, :, :d] += qc[self.v.kind[rows]]
-            slope = np.einsum("bkd,bd->bk", vectors, one) - np.log(NOISE / size)[:, None]
-            slope = (1 / (1 + np.exp(-np.clip(slope, -30, 30)))).astype(np.float32)
+                vectors[:, :, :d] += qc.take(kind.take(rows), axis=0)
+            slope = np.einsum("bkd,bd->bk", vectors, one) - np.log(NOISE / size).astype(np.float32)[:, None]
+            slope = 1 / (1 + np.exp(-np.clip(slope, -30, 30)))
             slope[:, 0] -= 1
             back += np.einsum("bk,bkd->bd", slope, vectors[:, :, :d])
-            steps, rows = (slope[:, :, None] * one[:, None, :]).reshape(-1, d + 1), rows.ravel()
-            self._step(4 + k, rows, steps, rate)
+            changed, total = self._step(4 + k, rows.ravel(), one, rate, slope)
             if leaves:
-                self._step(3, self.v.kind[rows], steps[:, :d], rate)
-        rows, steps = np.concatenate(before), np.concatenate([back * p[j] for j in range(BACK)])
-        self._step(0, rows, steps, rate)
-        self._step(1, self.v.kind[rows], steps, rate)
-        self._step(2, np.arange(BACK), np.stack([(back * e).sum(0) for e in given]), rate)
+                self._step(3, kind.take(changed), total[:, :d], rate)
+        changed, total = self._step(0, np.concatenate(before), np.concatenate([back * p[j] for j in range(BACK)]), rate)
+        self._step(1, kind.take(changed), total, rate)
+        self._step(2, np.arange(BACK), np.stack([np.einsum("bd,bd->d", back, e) for e in given]), rate)
 
     def changes(self, start: Net) -> Iterator[tuple[int, bytes]]:
         """(block, packed rows): rows that moved since ``start``, ``ROWS`` rows a block."""
@@ -220,30 +229,24 @@ def average(parts: list[bytes], width: int) -> bytes:
     return pack(rows, weights[rows], total[rows] / weights[rows][:, None])
 
 
-def _chosen(text: bytes, leaves: _Leaves, rate: float, rng) -> np.ndarray:
-    """Positions of a text as rows of leaves, each taken with probability ``rate``."""
-    words = _tokens(text)
-    at = np.flatnonzero(rng.random(len(words)) < rate)
-    if 4 * (BACK + 1) * len(at) > len(words):
-        ids = leaves.padded(words)[0]
-        return np.stack([ids[at + BACK - j] for j in range(BACK + 1)], 1)
-    near = [i - j for i in at.tolist() for j in range(BACK + 1)]  # few: only these are looked up
-    got = leaves.padded([words[i] if i >= 0 else END for i in near])[0][BACK:].reshape(-1, BACK + 1)
-    return np.where(at[:, None] >= np.arange(BACK + 1), got, leaves.back[0])
+def _positions(text: bytes, leaves: _Leaves, most: int) -> Iterator[np.ndarray]:
+    """All positions of a text as rows of leaves (the one to predict, then those before it), up to ``most`` at once."""
+    rows = np.lib.stride_tricks.sliding_window_view(leaves.padded(_tokens(text))[0].astype(np.int32), BACK + 1)[:, ::-1]
+    for at in range(0, len(rows), most):
+        yield rows[at : at + most]
 
 
 def fit(texts: DataFrame, v: Vocabulary, tokens: int, distinct: int, share: int = SHARE) -> Net:
     """The net after all trainers have fitted their texts; texts is one string column of ``tokens`` tokens."""
     spark, net = texts.sparkSession, Net(v)
-    wanted = max(LEAST, FITTED * distinct)
-    rate, passes = min(1.0, wanted / max(1, tokens)), min(PASSES, max(1, wanted // max(1, tokens)))
+    passes = min(PASSES, max(1, max(LEAST, FITTED * distinct) // max(1, tokens)))
     shared = spark.sparkContext.broadcast(v)
-    trainers = max(1, round(rate * passes * tokens / share))
+    trainers = max(1, round(passes * tokens / share))
 
     def train(batches):
         rng, leaves = np.random.default_rng(TaskContext.get().partitionId()), _Leaves(shared.value)
         own, held, size, done = Net(shared.value), [], 0, 0
-        whole = max(1.0, rate * passes * tokens / trainers)
+        whole = max(1.0, passes * tokens / trainers)
         step = int(min(STEP, max(64, whole // 64)))
 
         def learn(rows):
@@ -256,11 +259,12 @@ def fit(texts: DataFrame, v: Vocabulary, tokens: int, distinct: int, share: int
 
         for b in slices(batches):
             for t in byte_texts(b.column(0)):
-                held.append(_chosen(t, leaves, rate, rng))
-                size += len(held[-1])
-                if size >= 16 * STEP:
-                    learn(np.concatenate(held))
-                    held, size = [], 0
+                for rows in _positions(t, leaves, 16 * STEP):
+                    held.append(rows)
+                    size += len(rows)
+                    if size >= 16 * STEP:
+                        learn(np.concatenate(held))
+                        held, size = [], 0
         if size:
             learn(np.concatenate(held))
         salt = TaskContext.get().partitionId() % SALTS
