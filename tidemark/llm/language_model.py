@@ -41,7 +41,7 @@ OWN = 1 << 18
 BACK, FAN, DIMENSION, NOISE = 3, 64, 16, 3
 FITTED, LEAST, PASSES = 2, 100_000, 8
 #: Positions of one trainer (about: as many as make its copy worth sending), of one step of its, and tokens scored at once.
-SHARE, STEP, BLOCK = 4_000_000, 2048, 1 << 17
+SHARE, STEP, BLOCK = 4_000_000, 4096, 1 << 17
 RATE = 0.1
 ROWS, SALTS = 4096, 16
 FLUSH = 400_000
