@@ -101,6 +101,30 @@ def test_language_model_learns_from_every_position(spark, monkeypatch):
     assert [r.tolist() for p in language_model._positions(b"A b", leaves, 2) for r in p] == [[a, first, first, first], [b, a, first, first], [end, b, a, first]]
 
 
+def test_language_model_step_takes_every_child_of_a_crowded_node():
+    names = [b"t%05d" % k for k in range(70 * language_model.FAN - 5)]
+    v = language_model.vocabulary(names, [9] * len(names), np.ones(5))
+    assert [len(b) for b in v.bias] == [70, 70 * language_model.FAN]  # no root of two nodes above the 70
+    net, was, rng = language_model.Net(v), language_model.Net(v), np.random.default_rng(5)
+    leaves = np.append(rng.integers(0, 64, 400), rng.integers(0, 4480, 30))
+    rows = np.array([[leaves[i], *leaves[i - 3 : i][::-1]] for i in range(3, len(leaves))], np.int32)
+    rows[200, 1:] = v.start  # a text begins
+    net.learn(rows, rng, 0.1)
+    r, rc, p, qc, root, low = (x.astype(float) for x in was.w)
+    h = np.column_stack((sum((r + rc[v.kind])[rows[:, 1 + j]] * p[j] for j in range(3)), np.ones(len(rows))))
+
+    def moved(q, own, child):
+        z = np.exp(h[child >= 0] @ own.T)
+        slope = z / z.sum(1, keepdims=True)
+        slope[np.arange(len(slope)), child[child >= 0]] -= 1
+        total = slope.T @ h[child >= 0]
+        return q - 0.1 * total / np.sqrt((total**2).mean(1) + 0.01)[:, None]
+
+    assert np.allclose(net.w[4], moved(root, root, rows[:, 0] // 64), atol=1e-4)
+    own = low[:64] + np.column_stack((qc[v.kind[:64]], np.zeros(64)))
+    assert np.allclose(net.w[5][:64], moved(low[:64], own, np.where(rows[:, 0] < 64, rows[:, 0], -1)), atol=1e-4)
+
+
 def test_language_model_blocks_average_by_weight():
     a = language_model.pack(np.array([1, 5]), np.array([1.0, 2.0]), np.array([[2.0, 0.0], [1.0, 1.0]]))
     b = language_model.pack(np.array([5]), np.array([6.0]), np.array([[5.0, -3.0]]))

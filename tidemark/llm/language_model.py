@@ -38,11 +38,15 @@ from pyspark.taskcontext import TaskContext
 from .common import byte_texts, cut, slices
 
 OWN = 1 << 18
-BACK, FAN, DIMENSION, NOISE = 3, 64, 16, 3
+BACK, FAN, ROOT, DIMENSION, NOISE = 3, 64, 80, 16, 3
 FITTED, LEAST, PASSES = 2, 100_000, 8
 #: Positions of one trainer (about: as many as make its copy worth sending), of one step of its, and tokens scored at once.
-SHARE, STEP, BLOCK = 4_000_000, 4096, 1 << 17
+SHARE, STEP, BLOCK = 4_000_000, 32768, 1 << 17
 RATE = 0.1
+#: Positions of a node in a step from which on its noise is every child.
+CROWD = 8
+#: Positions whose scores are computed at once.
+PIECE = 512
 ROWS, SALTS = 4096, 16
 FLUSH = 400_000
 #: Not words, since words have no space: the end of a text as a token, and prefix of a document's own row.
@@ -114,7 +118,7 @@ def vocabulary(names: list[bytes], counts: list[int], tails: np.ndarray) -> Voca
     own = order < known
     kind = np.array([token_class(t, len(tails)) for t in names] + list(range(len(tails))), np.int64)[order]
     shares, bias = [mass[order]], []
-    while len(shares[0]) > FAN:
+    while len(shares[0]) > ROOT:
         shares.insert(0, np.add.reduceat(shares[0], np.arange(0, len(shares[0]), FAN)))
     for k, x in enumerate(shares):
         bias.append(np.log(x / (np.repeat(shares[k - 1], FAN)[: len(x)] if k else x.sum())).astype(np.float32))
@@ -158,43 +162,120 @@ class Net:
             slopes *= scale.ravel().take(order)[:, None]
         rows = rows.take(order)
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        total, rows = np.add.reduceat(slopes, first, axis=0), rows.take(first)
+        if slopes.shape[1] % 2:
+            total, rows = np.add.reduceat(slopes, first, axis=0), rows.take(first)
+        else:  # pairs of columns as complex numbers: half the work
+            total, rows = np.add.reduceat(slopes.view(np.complex64), first, axis=0).view(np.float32), rows.take(first)
         moved = self.moved[table].take(rows) + np.einsum("rd,rd->r", total, total) / np.float32(total.shape[1])
         self.moved[table][rows] = moved
         self.w[table][rows] = self.w[table].take(rows, axis=0) - total * (np.float32(rate) / np.sqrt(moved + np.float32(0.01)))[:, None]
         return rows, total
 
     def learn(self, positions: np.ndarray, rng, rate: float) -> None:
-        """One step on positions given as rows: the leaf to predict, then those before it, nearest first."""
-        r, rc, p, qc, *levels = self.w
-        positions = positions.take(np.argsort(positions[:, 0]), axis=0)  # rows of a node are near each other
-        kind, target = self.v.kind, positions[:, 0].astype(np.int64)
-        before = [positions[:, 1 + j].astype(np.int64) for j in range(BACK)]
-        given = [r.take(x, axis=0) + rc.take(kind.take(x), axis=0) for x in before]
-        h = sum(e * p[j] for j, e in enumerate(given))
-        back, one = np.zeros_like(h), np.column_stack((h, np.ones(len(h), np.float32)))
-        d = DIMENSION
-        for k, q in enumerate(levels):
-            leaves = k == self.depth - 1
+        """One step on positions given as rows: the leaf to predict, then those before it, nearest first.
+
+        In rows that follow each other in a text a context is the one before, moved by one; its vectors are taken once.
+        """
+        r, rc, p = self.w[:3]
+        kind, n = self.v.kind, len(positions)
+        met = [np.concatenate((positions[0, BACK:0:-1], positions[1:, 1]))]  # the contexts of the first row, then the nearest of each
+        other = [np.flatnonzero(positions[:, 1 + j] != met[0][BACK - 1 - j : BACK - 1 - j + n]) for j in range(BACK)]
+        met = np.concatenate(met + [positions[rows, 1 + j] for j, rows in enumerate(other)]).astype(np.int64)
+        ends = n + BACK - 1 + np.cumsum([0, *map(len, other)])
+        vectors, given = r.take(met, axis=0) + rc.take(kind.take(met), axis=0), []
+        for j, rows in enumerate(other):
+            given.append(vectors[BACK - 1 - j : BACK - 1 - j + n])
+            if len(rows):
+                given[j] = given[j].copy()
+                given[j][rows] = vectors[ends[j] : ends[j + 1]]
+        order = np.argsort(positions[:, 0])  # positions of a node become neighbours
+        target = positions[:, 0].take(order).astype(np.int64)
+        one = np.ones((n, DIMENSION + 1), np.float32)
+        one[:, :-1] = sum(e * p[j] for j, e in enumerate(given)).take(order, axis=0)
+        back = np.zeros((n, DIMENSION), np.float32)
+        for k in range(self.depth):
             child = target // FAN ** (self.depth - 1 - k)
             first = child // FAN * FAN if k else np.zeros_like(child)
-            size = np.minimum(len(q) - first, FAN if k else len(q))
-            rows = np.empty((len(h), 1 + NOISE), np.int64)
-            rows[:, 0] = child
-            rows[:, 1:] = first[:, None] + (rng.random((len(h), NOISE)) * size[:, None]).astype(np.int64)
-            vectors = q.take(rows, axis=0)
-            if leaves:
-                vectors[:, :, :d] += qc.take(kind.take(rows), axis=0)
-            slope = np.einsum("bkd,bd->bk", vectors, one) - np.log(NOISE / size).astype(np.float32)[:, None]
-            slope = 1 / (1 + np.exp(-np.clip(slope, -30, 30)))
-            slope[:, 0] -= 1
-            back += np.einsum("bk,bkd->bd", slope, vectors[:, :, :d])
-            changed, total = self._step(4 + k, rows.ravel(), one, rate, slope)
-            if leaves:
-                self._step(3, kind.take(changed), total[:, :d], rate)
-        changed, total = self._step(0, np.concatenate(before), np.concatenate([back * p[j] for j in range(BACK)]), rate)
+            bounds = np.append(np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))), len(first))
+            crowded = np.diff(bounds) >= CROWD
+            if crowded.any():
+                self._every_child(k, bounds[:-1][crowded], bounds[1:][crowded], child, first, one, back, rate)
+            few = np.flatnonzero(np.repeat(~crowded, np.diff(bounds)))
+            if len(few):
+                back[few] += self._some_children(k, child.take(few), first.take(few), one.take(few, axis=0), rng, rate)
+        slopes, sorted_back = np.zeros_like(vectors), back
+        back = np.empty_like(sorted_back)
+        back[order] = sorted_back
+        for j, rows in enumerate(other):
+            slope = back * p[j]
+            slopes[ends[j] : ends[j + 1]] = slope[rows]
+            slope[rows] = 0
+            slopes[BACK - 1 - j : BACK - 1 - j + n] += slope
+        slope = np.stack([np.einsum("bd,bd->d", back, e) for e in given])
+        changed, total = self._step(0, met, slopes, rate)
         self._step(1, kind.take(changed), total, rate)
-        self._step(2, np.arange(BACK), np.stack([np.einsum("bd,bd->d", back, e) for e in given]), rate)
+        self._step(2, np.arange(BACK), slope, rate)
+
+    def _every_child(self, k: int, begins, ends, child, first, one, back, rate: float) -> None:
+        """Positions of crowded nodes, from a begin to an end each: noise is every other child of the node, by matrix products."""
+        q, leaves, d, width = self.w[4 + k], k == self.depth - 1, DIMENSION, FAN if k else len(self.w[4])
+        rows = first[begins][:, None] + np.arange(width)
+        inside = rows < len(q)
+        held = np.minimum(rows, len(q) - 1)
+        vectors = q.take(held, axis=0)
+        if leaves:
+            vectors[:, :, :d] += self.w[3].take(self.v.kind.take(held), axis=0)
+        vectors[~inside] = [0] * d + [-1e4]
+        total, lines, ones, scratch = np.zeros_like(vectors), np.arange(PIECE), np.ones(width, np.float32), np.empty((PIECE, width), np.float32)
+        turned = np.ascontiguousarray(vectors.transpose(0, 2, 1))
+        groups, size = [], PIECE
+        for m, (a, z) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
+            for at in range(a, z, PIECE):
+                n = min(z - at, PIECE)
+                if size + n > PIECE:
+                    groups.append([])
+                    size = 0
+                groups[-1].append((m, at, at + n, size, size + n))
+                size += n
+        for pieces in groups:
+            for m, a, z, x, y in pieces:
+                np.matmul(one[a:z], turned[m], out=scratch[x:y])
+            s = scratch[: pieces[-1][4]]
+            if s.max() > 60:
+                s -= s.max(1, keepdims=True)
+            np.exp(s, out=s)
+            norm = s @ ones
+            at = np.concatenate([np.arange(a, z) for _, a, z, _, _ in pieces])
+            s[lines[: len(s)], child.take(at) - first.take(at)] -= norm
+            norm = (1 / norm)[:, None]  # scales what comes of the scores, which is less than the scores
+            given = one.take(at, axis=0) * norm
+            for m, a, z, x, y in pieces:
+                back[a:z] += (s[x:y] @ vectors[m, :, :d]) * norm[x:y]
+                total[m] += s[x:y].T @ given[x:y]
+        rows, total = rows[inside], total[inside]
+        moved = self.moved[4 + k].take(rows) + np.einsum("rd,rd->r", total, total) / np.float32(d + 1)
+        self.moved[4 + k][rows] = moved
+        q[rows] = q.take(rows, axis=0) - total * (np.float32(rate) / np.sqrt(moved + np.float32(0.01)))[:, None]
+        if leaves:
+            self._step(3, self.v.kind.take(rows), total[:, :d], rate)
+
+    def _some_children(self, k: int, child, first, one, rng, rate: float) -> np.ndarray:
+        """Positions of other nodes: noise is ``NOISE`` children drawn evenly. Returns slopes of the context."""
+        q, kind, leaves, d = self.w[4 + k], self.v.kind, k == self.depth - 1, DIMENSION
+        size = np.minimum(len(q) - first, FAN if k else len(q))
+        rows = np.empty((len(one), 1 + NOISE), np.int64)
+        rows[:, 0] = child
+        rows[:, 1:] = first[:, None] + (rng.random((len(one), NOISE)) * size[:, None]).astype(np.int64)
+        vectors = q.take(rows, axis=0)
+        if leaves:
+            vectors[:, :, :d] += self.w[3].take(kind.take(rows), axis=0)
+        slope = np.einsum("bkd,bd->bk", vectors, one) - np.log(NOISE / size).astype(np.float32)[:, None]
+        slope = 1 / (1 + np.exp(-np.clip(slope, -30, 30)))
+        slope[:, 0] -= 1
+        changed, total = self._step(4 + k, rows.ravel(), one, rate, slope)
+        if leaves:
+            self._step(3, kind.take(changed), total[:, :d], rate)
+        return np.einsum("bk,bkd->bd", slope, vectors[:, :, :d])
 
     def changes(self, start: Net) -> Iterator[tuple[int, bytes]]:
         """(block, packed rows): rows that moved since ``start``, ``ROWS`` rows a block."""
@@ -231,7 +312,10 @@ def average(parts: list[bytes], width: int) -> bytes:
 
 def _positions(text: bytes, leaves: _Leaves, most: int) -> Iterator[np.ndarray]:
     """All positions of a text as rows of leaves (the one to predict, then those before it), up to ``most`` at once."""
-    rows = np.lib.stride_tricks.sliding_window_view(leaves.padded(_tokens(text))[0].astype(np.int32), BACK + 1)[:, ::-1]
+    ids = leaves.padded(_tokens(text))[0]
+    rows = np.empty((len(ids) - BACK, BACK + 1), np.int32)
+    for j in range(BACK + 1):
+        rows[:, j] = ids[BACK - j : len(ids) - j]
     for at in range(0, len(rows), most):
         yield rows[at : at + most]
 
@@ -252,17 +336,17 @@ def fit(texts: DataFrame, v: Vocabulary, tokens: int, distinct: int, share: int
         def learn(rows):
             nonlocal done
             for _ in range(passes):
-                rows = rng.permutation(rows)
                 for at in range(0, len(rows), step):
                     own.learn(rows[at : at + step], rng, RATE * (1 - 0.9 * min(1.0, done / whole)))
                     done += step
 
         for b in slices(batches):
             for t in byte_texts(b.column(0)):
-                for rows in _positions(t, leaves, 16 * STEP):
+                for rows in _positions(t, leaves, STEP):
                     held.append(rows)
                     size += len(rows)
-                    if size >= 16 * STEP:
+                    if size >= 4 * STEP:
+                        rng.shuffle(held)
                         learn(np.concatenate(held))
                         held, size = [], 0
         if size:
@@ -301,7 +385,12 @@ class Scorer:
     def ready(self) -> Scorer:
         """With tables that need not travel."""
         self.given = [self.rows * x for x in self.distance]
-        self.children = [[np.ascontiguousarray(q[i : i + FAN].T) for i in range(0, len(q), FAN)] for q in self.levels]
+        self.children = []
+        for k, q in enumerate(self.levels):  # by level (nodes, DIMENSION + 1, children); what a last node lacks has no probability
+            width = FAN if k else len(q)
+            whole = np.zeros((-(-len(q) // width) * width, DIMENSION + 1), np.float32)
+            whole[: len(q)], whole[len(q) :, -1] = q, -1e4
+            self.children.append(np.ascontiguousarray(whole.reshape(-1, width, DIMENSION + 1).transpose(0, 2, 1)))
         self.log_count, self.log_tail = np.log10(self.v.count + 1), np.log10(self.v.tail)
         self.leaves = _Leaves(self.v)
         return self
@@ -321,20 +410,23 @@ class Scorer:
                 near += self.given[j][ids[part - 1 - j]]
             h[:, :d] = near
             p = np.ones(len(part))
-            scratch, lines = np.empty((1024, FAN), np.float32), np.arange(1024)
+            lines = np.arange(PIECE)
             for k, tables in enumerate(self.children):
-                child = leaf // FAN ** (len(self.children) - 1 - k)
-                node = child // FAN
-                place = child - node * FAN
-                bounds = np.union1d(np.flatnonzero(node[1:] != node[:-1]) + 1, np.arange(0, len(part) + 1, 1024))
-                bounds = np.append(bounds, len(part)) if bounds[-1] != len(part) else bounds
-                ends = bounds.tolist()
-                for a, z, n in zip(ends, ends[1:], node[bounds[:-1]].tolist()):
-                    m = tables[n]
-                    s = scratch[: z - a] if m.shape[1] == FAN else np.empty((z - a, m.shape[1]), np.float32)
-                    np.matmul(h[a:z], m, out=s)
-                    np.exp(s, out=s)
-                    p[a:z] *= s[lines[: z - a], place[a:z]] / s.sum(1)
+                child, width = leaf // FAN ** (len(self.children) - 1 - k), tables.shape[2]
+                node = child // width if k else np.zeros_like(child)
+                place = child - node * width
+                scratch, ones = np.empty((PIECE, width), np.float32), np.ones(width, np.float32)
+                bounds = np.union1d(np.flatnonzero(node[1:] != node[:-1]) + 1, np.arange(0, len(part) + PIECE, PIECE))
+                bounds = bounds[bounds < len(part)]
+                nodes, ends, a = node[bounds].tolist(), [*bounds[1:].tolist(), len(part)], 0
+                for n, z in zip(nodes, ends, strict=True):
+                    np.matmul(h[a:z], tables[n], out=scratch[a % PIECE : a % PIECE + z - a])
+                    a = z
+                    if z % PIECE == 0 or z == len(part):
+                        size = (z - 1) % PIECE + 1
+                        s = scratch[:size]
+                        np.exp(s, out=s)
+                        p[z - size : z] *= s[lines[:size], place[z - size : z]] / (s @ ones)
             out[begin + order] = np.log10(p)
         return out
 
@@ -358,7 +450,8 @@ def frequent(counts: DataFrame, most: int = OWN) -> tuple[list[bytes], list[int]
         total += r["size"]
         least = r["cell"] if total <= most else least
     found = counts.where(((cell >= least) & (F.col("n") > 1)) | (F.col("token") == F.lit(END))).toArrow()
-    got = sorted(zip(found["token"].to_pylist(), found["n"].to_pylist(), strict=True))
+    # by count, so that tokens looked up often lie side by side in a worker's memory
+    got = sorted(zip(found["token"].to_pylist(), found["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     return [t for t, _ in got], [n for _, n in got]
 
 
