@@ -11,8 +11,9 @@ probabilities of all tokens sum to one and every token's depends on its context.
 
 Counts cover every training token, and so does the fit: every position of every training text is learnt from, and a
 corpus of fewer than ``LEAST`` or ``FITTED`` times its distinct tokens is gone over up to ``PASSES`` times. Each of several trainers fits a copy on its share of them:
-at every level of the tree the true child is told from ``NOISE`` children drawn evenly from its node, by the logistic of the
-score less log(noise / children). What trainers changed is averaged row by row, weighted by how far each moved, in
+at every level of the tree the true child is told from noise children of its node. In a node that a step meets
+``CROWD`` times or more, noise is every other child once and the true one is ranked among them, which is the softmax;
+elsewhere it is ``NOISE`` children drawn evenly, by the logistic of the score less log(noise / children). What trainers changed is averaged row by row, weighted by how far each moved, in
 blocks of rows and two rounds, so that no task holds more than some trainers' blocks.
 
 Scoring looks leaves up in the broadcast table. Every other token of a document joins its count by a shuffle, so no
@@ -25,7 +26,6 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import repeat
 from math import isqrt
 from zlib import crc32
 
@@ -132,9 +132,12 @@ class _Leaves(dict):
         super().__init__(zip(v.names, v.leaf[: len(v.names)].tolist(), strict=True))
         self.classes, self.of_class, self.back = v.classes, v.leaf[len(v.names) :], [v.start] * BACK
 
+    def __missing__(self, token: bytes) -> int:
+        return -1
+
     def padded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(leaves after ``BACK`` starts, places in ``words`` without a leaf of their own)"""
-        got = np.fromiter(map(self.get, words, repeat(-1)), np.int64, len(words))
+        got = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         cold = np.flatnonzero(got < 0)
         got[cold] = self.of_class[[token_class(words[i], self.classes) for i in cold.tolist()]]
         return np.concatenate((self.back, got)), cold
@@ -401,13 +404,14 @@ class Scorer:
         for begin in range(0, len(at), BLOCK):
             part = at[begin : begin + BLOCK]
             leaf = ids[part]
-            order = np.argsort(leaf, kind="stable")
-            leaf, part = leaf[order], part[order]
+            both = np.sort((leaf << BLOCK.bit_length()) | np.arange(len(leaf)))  # leaf and place as one number: faster than argsort
+            order, leaf = both & ((1 << BLOCK.bit_length()) - 1), both >> BLOCK.bit_length()
+            part = part.take(order)
             h = np.empty((len(part), d + 1), np.float32)
             h[:, d] = 1
             np.take(self.given[0], ids[part - 1], axis=0, out=(near := np.empty((len(part), d), np.float32)))
             for j in range(1, BACK):
-                near += self.given[j][ids[part - 1 - j]]
+                near += self.given[j].take(ids[part - 1 - j], axis=0)
             h[:, :d] = near
             p = np.ones(len(part))
             lines = np.arange(PIECE)
