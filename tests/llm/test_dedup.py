@@ -49,6 +49,19 @@ def test_golay_is_perfect():
     assert [near[3, c].shape[1] for c in range(2)] == [1, 5]
 
 
+def test_half_windows_are_sorted_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rows = pa.table({"id": list(range(220)), "text": [" ".join(f"w{(k * (7 + i)) % 9973}" for k in range(10_000)) for i in range(220)]}).to_batches()
+    tracemalloc.start()
+    sizes = [b.num_rows for b in substrings._halves(50, 8)(rows)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) > 256 and peak < 100e6  # of 2.2 million half windows
+
+
 @pytest.mark.parametrize(("one_block", "most"), [(1 << 24, 1 << 19), (0, 1 << 19), (1 << 24, 2)])
 def test_simhash_matches_all_pairs(spark, monkeypatch, one_block, most):
     monkeypatch.setattr(simhash, "ONE_BLOCK", one_block)

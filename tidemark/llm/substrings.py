@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import byte_texts, input_bytes, slices, written
 
 WINDOW = 50
-MEMO = 500_000
-#: Half windows that a task sorts at once; bytes of input a bucket; least and most bits of a bucket's number.
-SORTED = 2_000_000
+MEMO = 200_000
+#: Half windows that a task sorts at once (some 60 bytes each while it does); bytes of input a bucket; least and most bits of a bucket's number.
+SORTED = 1_000_000
 BUCKET_BYTES, BUCKET_BITS = 4 << 20, (8, 20)
 #: Bits of the bitmap of ids, at most (16 MB).
 ID_BITS = 27
@@ -116,13 +116,17 @@ def _halves(window: int, bits: int):
     half = window // 2
 
     def packed(parts):
+        docs = np.repeat(np.array([i for _, i in parts], np.int64), [len(x) for x, _ in parts])
         hashes = np.concatenate([x for x, _ in parts])
-        docs = np.concatenate([np.full(len(x), i, np.int64) for x, i in parts])
+        parts.clear()
         order = np.argsort(hashes)
         hashes, docs = hashes[order], docs[order]
+        del order
         first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
         several = np.minimum.reduceat(docs, first) < np.maximum.reduceat(docs, first)
+        del docs
         kept = np.repeat(hashes[first], 1 + several)
+        del hashes, first, several
         bucket = (kept >> np.uint64(64 - bits)).astype(np.int64)
         low = ((kept >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
